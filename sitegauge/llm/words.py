@@ -50,19 +50,8 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
-    """-> (hash, start, end, text number) of each word in order."""
-    inside = ~SPACE[data]
-    before = np.zeros(len(data), bool)
-    before[1:] = inside[:-1]
-    cut = offsets[(offsets > 0) & (offsets < len(data))]
-    before[cut] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.zeros(len(data), bool)
-    after[:-1] = inside[1:]
-    after[cut - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    text = np.searchsorted(offsets, starts, "right") - 1
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end), which ascend and don't overlap."""
     hashes = np.empty(len(starts), np.uint64)
     a = 0
     while a < len(starts):
@@ -76,9 +65,25 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(values, out=total[1:])
         s, e = starts[a:b] - lo, ends[a:b] - lo
-        hashes[a:b] = (total[e] - total[s]) * down[s]
+        hashes[a:b] = (total[e] - total[s]) * down[np.minimum(s, len(down) - 1)]
         a = b
-    return mix(hashes), starts, ends, text
+    return mix(hashes)
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    """-> (hash, start, end, text number) of each word in order."""
+    inside = ~SPACE[data]
+    before = np.zeros(len(data), bool)
+    before[1:] = inside[:-1]
+    cut = offsets[(offsets > 0) & (offsets < len(data))]
+    before[cut] = False
+    starts = np.flatnonzero(inside & ~before)
+    after = np.zeros(len(data), bool)
+    after[:-1] = inside[1:]
+    after[cut - 1] = False
+    ends = np.flatnonzero(inside & ~after) + 1
+    text = np.searchsorted(offsets, starts, "right") - 1
+    return span_hashes(data, starts, ends, lower), starts, ends, text
 
 
 def shingles(hashes: np.ndarray, text: np.ndarray, n_texts: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,8 +109,8 @@ def shingles(hashes: np.ndarray, text: np.ndarray, n_texts: int, k: int) -> tupl
     full = count[owner] >= k
     out[full] = runs[pos[full]]
     for t in np.flatnonzero((count > 0) & (count < k)):
-        h = np.uint64(int(count[t]))
-        for w in hashes[first[t] : first[t + 1]]:
-            h = mix(np.array([h * _MULT + w]))[0]
-        out[bounds[t]] = h
+        h = np.full(1, count[t], np.uint64)
+        for i in range(first[t], first[t + 1]):
+            h = mix(h * _MULT + hashes[i : i + 1])
+        out[bounds[t]] = h[0]
     return out, bounds
