@@ -108,7 +108,7 @@ LINE_FEATURES = ("one", "symbols", "upper", "digits", "marks", "bars", "repeats"
 
 def line_features(w: Words, lines: Lines) -> np.ndarray:
     size = np.maximum(np.diff(lines.bounds), 1)
-    share = [counts(t, w.data, lines.bounds) / size for t in (SYMBOL, UPPER, DIGIT, MARK, BAR)]
+    share = [np.minimum(counts(t, w.data, lines.bounds) / size * scale, 1) for t, scale in ((SYMBOL, 10), (UPPER, 1), (DIGIT, 2), (MARK, 10), (BAR, 10))]
     words = np.maximum(lines.words, 1)
     again = np.bincount(lines.of_word, weights=adjacent(w), minlength=len(size)) / words
     stops = counts(STOP, w.data, lines.bounds) / words
