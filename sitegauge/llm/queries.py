@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .line_quality import line_quality
 from .ngram_join import ngram_join
 from .quality import quality_scores
+from .toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +28,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
