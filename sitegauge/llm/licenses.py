@@ -5,9 +5,10 @@ Templates of LONG shingles or more are cut into windows of WIDTH shingles at
 every offset, texts at every STRIDE, so an unchanged copy of WIDTH + STRIDE
 shingles holds a window equal to one of the template's.  A window has BANDS
 bands of ROWS minima: at similarity 0.8 one window collides with probability
-1 - (1 - 0.8**2)**4 = 0.98, and a copy has several.  A shorter template has
+1 - 0.2**3 = 0.99, and a copy has several.  A shorter template has
 windows of one shingle, which collide always.  Retrieved templates stay if the
-text holds at least CONTAINED of their shingles.
+text holds at least CONTAINED of their shingles; of notices below EXACT
+shingles, whose versions differ in one word, it must hold all.
 
 Results: one row for each document row and license found, none for null, empty
 or unlicensed texts.  Repeated rows with one id give one row for each license.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, LONG, WIDTH, STRIDE, BANDS, ROWS, CONTAINED = 5, 24, 16, 8, 4, 2, 0.8
+SHINGLE, LONG, WIDTH, STRIDE, BANDS, ROWS, CONTAINED, EXACT = 5, 24, 16, 8, 3, 1, 0.8, 10
 
 # Public license notices.
 TEMPLATES = {
@@ -41,20 +42,34 @@ TEMPLATES = {
 }
 
 
-def shingle_hashes(text: Column) -> Column:
-    """Hashes of the five-word runs of the whole text, in order; none for fewer words."""
-    return F.aggregate(F.array(F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")), F.array().cast("array<bigint>"), lambda _, words: F.when(
-        F.size(words) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))).otherwise(F.array().cast("array<bigint>")))
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _bands(window: Column) -> Column:
-    low = [F.array_min(F.transform(window, lambda x, s=s: F.xxhash64(x, F.lit(s)))) for s in range(BANDS * ROWS)]
-    return F.array(*[F.xxhash64(F.lit(b), *low[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
+def shingle_hashes(text: Column) -> Column:
+    """Hashes of the five-word runs of the whole text, in order; empty for fewer words."""
+    words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    return _let(words, lambda w: F.when(F.size(w) >= SHINGLE, F.transform(
+        F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))).otherwise(F.array().cast("array<bigint>")))
 
 
 def _windows(shingles: Column, step: int) -> Column:
-    return F.when(F.size(shingles) >= WIDTH, F.flatten(F.transform(
-        F.sequence(F.lit(1), F.size(shingles) - WIDTH + 1, F.lit(step)), lambda i: _bands(F.slice(shingles, i, WIDTH))))).otherwise(F.array().cast("array<bigint>"))
+    """The band signatures of all windows of WIDTH shingles."""
+    starts = F.sequence(F.lit(1), F.size(shingles) - WIDTH + 1, F.lit(step))
+
+    def low(seed: int) -> Column:
+        seeded = F.transform(shingles, lambda x: F.xxhash64(x, F.lit(seed)))
+        return _let(seeded, lambda h: F.transform(starts, lambda i: F.array_min(F.slice(h, i, WIDTH))))
+
+    def band(number: int) -> Column:
+        key = low(number * ROWS)
+        for row in range(1, ROWS):
+            key = F.zip_with(key, low(number * ROWS + row), lambda x, y: F.xxhash64(F.lit(number), x, y))
+        return key
+
+    bands = [band(b) for b in range(BANDS)]
+    return F.when(F.size(shingles) >= WIDTH, F.concat(*bands)).otherwise(F.array().cast("array<bigint>"))
 
 
 def template_index(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -72,8 +87,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     missing = set(templates) - {r["name"] for r in index.select("name").distinct().collect()}
     if missing:
         raise ValueError(f"templates need {SHINGLE} words: {sorted(missing)}")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_hashes(F.col("text")).alias("s")).filter(F.size("s") > 0)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_hashes(F.col("text")).alias("s"))
     hits = texts.select("doc_id", "s", F.filter(F.concat("s", _windows(F.col("s"), STRIDE)), lambda x: x.isin(known)).alias("hit"))
-    rows = hits.filter(F.size("hit") > 0).select("doc_id", "s", F.explode(F.array_distinct("hit")).alias("signature")).join(F.broadcast(index), "signature")
-    held = rows.select("doc_id", F.col("name").alias("license"), (F.size(F.array_intersect("shingles", "s")) / F.size("shingles")).alias("contained"))
-    return held.groupBy("doc_id", "license").agg(F.max("contained").alias("contained")).filter(F.col("contained") >= CONTAINED)
+    rows = hits.select("doc_id", "s", F.explode(F.array_distinct("hit")).alias("signature")).join(F.broadcast(index), "signature")
+    held = rows.select("doc_id", F.col("name").alias("license"), (F.size(F.array_intersect("shingles", "s")) / F.size("shingles")).alias("contained"), F.size("shingles").alias("n"))
+    return held.groupBy("doc_id", "license").agg(F.max("contained").alias("contained"), F.max("n").alias("n")).filter(
+        F.col("contained") >= F.when(F.col("n") < EXACT, 1.0).otherwise(CONTAINED)).drop("n")

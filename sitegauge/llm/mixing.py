@@ -26,23 +26,23 @@ from .common import Scratch
 
 SAMPLE, STEPS, TOLERANCE = 20_000, 40, 1e-4
 
-# Frequent function words of four languages.
-FUNCTION_WORDS = {"en": "the|and|of|to|that|is|was|for|with|are", "fr": "le|les|des|et|est|une|du|dans|pour|qui",
-                  "de": "der|die|das|und|ist|nicht|von|mit|ein|auf", "es": "el|los|las|y|que|por|una|con|del|para"}
-PATTERNS = {"symbols": "[#*$%&<>]", "bars": "\\|", "uppers": "[A-Z]", "digits": "[0-9]", "marks": "!", "umlauts": "[äöüß]", "accents": "[éèêçàù]", "tildes": "[ñóíáú]",
-            "twice": "(?<!\\S)(\\S++) \\1 \\1(?!\\S)"}
-STATISTICS = tuple(FUNCTION_WORDS) + tuple(PATTERNS)
+# Characters and letter groups that tell four languages and junk apart.
+PATTERNS = {"symbols": "[#*$%&<>|]", "uppers": "[A-Z]", "marks": "!", "umlauts": "[äöüß]", "accents": "[éèêçàù]", "tildes": "[ñóíáú]",
+            "english": "th|wh", "german": "ch|ei", "romance": "qu|[aeo]s "}
+STATISTICS = tuple(PATTERNS)
 
 
 def tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+    """Words between white space; a text's leading and trailing white space makes none."""
+    parts = F.split(text, "[\\x20\\x09-\\x0D]+")
+    blank = lambda i: (F.element_at(parts, i) == "").cast("int")
+    return F.coalesce(F.when(F.size(parts) == 1, 1 - blank(1)).otherwise(F.size(parts) - blank(1) - blank(-1)), F.lit(0)).cast("long")
 
 
 def domain_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and shares by word or character."""
-    words = {k: F.regexp_count("text", F.lit(f"(?i)(?<![\\p{{L}}])(?:{v})(?![\\p{{L}}])")) / F.greatest("n_tokens", F.lit(1)) for k, v in FUNCTION_WORDS.items()}
+    """doc_id, n_tokens and shares of characters."""
     chars = {k: F.regexp_count("text", F.lit(v)) / F.greatest(F.length("text"), F.lit(1)) * 10 for k, v in PATTERNS.items()}
-    return docs.withColumn("n_tokens", tokens(F.col("text"))).withColumns({k: F.least(F.coalesce(c, F.lit(0.0)), F.lit(3.0)) for k, c in (words | chars).items()})
+    return docs.withColumn("n_tokens", tokens(F.col("text"))).withColumns({k: F.least(F.coalesce(c, F.lit(0.0)), F.lit(3.0)) for k, c in chars.items()})
 
 
 def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], extra: tuple[str, ...] = ()) -> DataFrame:
