@@ -12,6 +12,7 @@ from .mixing import TARGETS, mix_to_targets, quality_domains
 from .ngram_join import ngram_join
 from .quality import quality_scores
 from .secrets import scan_secrets
+from .token_counts import token_counts
 from .toxicity import toxicity_scores
 
 
@@ -23,6 +24,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
+    "op5_token_counts": op5_token_counts,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
