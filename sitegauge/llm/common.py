@@ -41,6 +41,17 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+SMALL_BYTES = 8 << 20
+
+
+def small_side(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """A saved table, marked for broadcast if its files hold at most SMALL_BYTES; else shuffled."""
+    jvm = df.sparkSession._jvm
+    p = jvm.org.apache.hadoop.fs.Path(scratch.path(name))
+    size = p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return F.broadcast(df) if size <= SMALL_BYTES else df
+
+
 def small_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
     """Arrow batches small enough for a Python worker whatever the texts' length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

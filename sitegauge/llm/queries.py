@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .line_quality import line_quality
 from .licenses import scan_licenses
@@ -12,6 +13,7 @@ from .mixing import TARGETS, mix_to_targets, quality_domains
 from .ngram_join import ngram_join
 from .quality import quality_scores
 from .secrets import scan_secrets
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
 
@@ -36,6 +38,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_toxicity": op8_toxicity,
