@@ -14,7 +14,8 @@ least hash in it (leftmost of ties); equal windows have equal anchors, so:
    S suffixes in one scan each.  Permuted common prefixes (from the irreducible
    ones) of WINDOW bytes or more mark repeats.
 4. Anchors with more than HOT different regions would make a lane too long for
-   one task: their windows' hashes are counted with partial sums instead.
+   one task: blocks of their windows are counted by hash with partial sums
+   instead, and cut finer where they repeat in part.
 
 Results: one row per document row: doc_id, n_bytes, spans (byte ranges removed,
 ascending, apart) and kept (binary, as a cut may split a character).  Null
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_rows, small_batches, small_side
 from .words import mix, text_buffer
 
-WINDOW, GRAM, HOT = 400, 32, 128
+WINDOW, GRAM, HOT = 400, 32, 32
 PIECE, SHARD_BYTES = 1 << 20, 4 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _POS = np.uint64((1 << 22) - 1)
@@ -238,22 +239,54 @@ def _shard(table: pa.Table) -> pa.Table:
     return pa.table([table["key"], table["content"], [a.astype(np.int32) for a, _ in found], [b.astype(np.int32) for _, b in found]], schema=FOUND_ARROW)
 
 
-def _window_hashes(batches):
-    """One row for each window of the regions of a crowded anchor."""
-    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("hash", pa.int64())])
+BLOCKS = "key long, content long, block int, lo int, hi int, core long, hull long"
+
+
+def _blocks(batches, width: int):
+    """The listed windows of crowded anchors' regions in blocks of width, aligned to the anchor.
+
+    core hashes what all windows of the whole block share, hull what the block's own windows cover."""
+    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("block", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("core", pa.int64()), ("hull", pa.int64())])
     up = np.full(2 * WINDOW, _M)
     up[0] = 1
     up = np.cumprod(up)
     down = np.full(2 * WINDOW, np.uint64(pow(int(_M), -1, 1 << 64)))
     down[0] = 1
     down = np.cumprod(down)
+    span = WINDOW - GRAM
     for batch in batches:
-        for key, content, body in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "body")), strict=True):
+        for key, content, body, part in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "body", "part")), strict=True):
             g = gram_hashes(np.frombuffer(body, np.uint8))
             total = np.concatenate([[np.uint64(0)], np.cumsum(mix(g + _M) * up[: len(g)])])
-            n = len(body) - WINDOW + 1
-            h = mix((total[WINDOW - GRAM + 1 :][:n] - total[:n]) * down[:n])
-            yield arrow_rows(schema, key=np.full(n, key), content=np.full(n, content), at=np.arange(n, dtype=np.int32), hash=h.view(np.int64))
+            of = lambda x, y: mix((total[y - GRAM + 1] - total[x]) * down[x] + (y - x).astype(np.uint64)).view(np.int64)  # noqa: E731, B023
+            last = len(body) - WINDOW
+            anchor = last + int(np.argmax(g[last:] == np.int64(key).view(np.uint64)))
+            s = np.concatenate([np.arange(p["lo"], p["hi"]) for p in part])
+            block = (s - anchor + span) // width
+            lo = s[np.concatenate([[True], block[1:] != block[:-1]])]
+            hi = s[np.concatenate([block[1:] != block[:-1], [True]])] + 1
+            block = np.unique(block)
+            first = block * width + anchor - span
+            yield arrow_rows(schema, key=np.full(len(lo), key), content=np.full(len(lo), content), block=block.astype(np.int32), lo=lo.astype(np.int32),
+                             hi=hi.astype(np.int32), core=of(first + width - 1, first + WINDOW), hull=of(lo, hi + WINDOW - 1))
+
+
+def crowded_repeats(bodies: DataFrame, scratch: Scratch) -> DataFrame:
+    """-> key, content, lo, hi: repeated windows of anchors with more than HOT regions.
+
+    A block whose core is found once holds no repeat; one whose hull is found
+    twice is all repeats; one block of each hull is cut finer, down to windows."""
+    todo = bodies.withColumn("part", F.array(F.struct(F.lit(0).alias("lo"), (F.length("body") - (WINDOW - 1)).alias("hi"))))
+    found = None
+    for width in (64, 8, 1):
+        rows = scratch.save(todo.mapInArrow(partial(_blocks, width=width), BLOCKS), f"blocks{width}")
+        shared = rows.groupBy("key", "block", "core").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+        rows = rows.join(shared, ["key", "block", "core"])
+        rows = scratch.save(rows.join(rows.groupBy("key", "hull").agg(F.count("*").alias("n"), F.min("content").alias("first")), ["key", "hull"]), f"shared{width}")
+        whole = rows.filter("n > 1").select("key", "content", "lo", "hi")
+        found = whole if found is None else found.unionByName(whole)
+        todo = bodies.join(rows.filter("content = first").groupBy("key", "content").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("part")), ["key", "content"])
+    return found
 
 
 def _cut(batches):
@@ -286,21 +319,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     occ = scratch.save(occ.join(again, "key"), "repeated")
     scratch.drop("occurrences")
     kinds = scratch.save(occ.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("h", "doc_id", "start", "windows")).alias("r")), "kinds")
-    crowd = kinds.groupBy("key").agg(F.count("*").alias("d"), F.sum("r.windows").alias("bytes")).filter("d > 1")
+    crowd = kinds.groupBy("key").agg(F.count("*").alias("d")).filter("d > 1")
     mixed = kinds.join(crowd, "key").select("key", "content", "n", "r", "d")
     wanted = scratch.save(mixed.groupBy(F.col("r.h").alias("h"), F.col("r.doc_id").alias("_id")).agg(F.collect_list(F.struct(
         "key", "content", "n", F.col("r.start").alias("start"), F.col("r.windows").alias("windows"))).alias("wanted")), "wanted")
     bodies = docs.join(small_side(wanted, scratch, "wanted"), ["h"]).filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "wanted")
     bodies = bodies.mapInArrow(_cut_out, "key long, content long, n long, body binary").dropDuplicates(["key", "content"])
     bodies = scratch.save(bodies.join(crowd.select("key", "d"), "key"), "bodies")
-    volume = bodies.filter(F.col("d") <= HOT).agg(F.sum(F.length("body"))).first()[0] or 0
-    shards = max(1, -(-volume // SHARD_BYTES))
+    size = bodies.agg(F.sum(F.when(F.col("d") <= HOT, F.length("body"))).alias("lanes"), F.max("d").alias("d")).first()
+    shards = max(1, -(-(size["lanes"] or 0) // SHARD_BYTES))
     sorted_ = bodies.filter(F.col("d") <= HOT).select("key", "content", "body", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(
         _shard, FOUND)
-    hashes = bodies.filter(F.col("d") > HOT).select("key", "content", "body").mapInArrow(_window_hashes, "key long, content long, at int, hash long")
-    twice = hashes.groupBy("key", "hash").agg(F.count("*").alias("c")).filter("c > 1").select("key", "hash")
-    crowded = hashes.join(twice, ["key", "hash"]).groupBy("key", "content").agg(F.collect_list("at").alias("lo")).withColumn("hi", F.transform("lo", lambda x: x + 1))
-    found = sorted_.unionByName(crowded).select("key", "content", F.arrays_zip("lo", "hi").alias("part"))
+    found = sorted_.select("key", "content", F.arrays_zip("lo", "hi").alias("part"))
+    if (size["d"] or 0) > HOT:
+        crowded = crowded_repeats(bodies.filter(F.col("d") > HOT).select("key", "content", "body"), scratch)
+        found = found.unionByName(crowded.groupBy("key", "content").agg(F.collect_list(F.struct("lo", "hi")).alias("part")))
     whole = kinds.filter("n > 1").select("key", "content", F.array(F.struct(F.lit(0).alias("lo"), F.col("r.windows").alias("hi"))).alias("part"))
     single = kinds.filter("n = 1").select("key", "content").join(found.filter(F.size("part") > 0), ["key", "content"])
     part = scratch.save(whole.unionByName(single), "parts")

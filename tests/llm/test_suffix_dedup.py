@@ -42,7 +42,7 @@ def fixture():
     return texts
 
 
-@pytest.mark.parametrize("hot", [128, 2])
+@pytest.mark.parametrize("hot", [200, 2])
 def test_matches_brute_force(spark, tmp_path, monkeypatch, hot):
     monkeypatch.setattr(sd, "HOT", hot)
     texts = fixture()
