@@ -36,7 +36,7 @@ from .common import Scratch, arrow_rows, small_batches, small_side
 from .words import mix, text_buffer
 
 WINDOW, GRAM, HOT = 400, 32, 32
-PIECE, SHARD_BYTES = 1 << 20, 4 << 20
+PIECE, SHARD_BYTES = 1 << 19, 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _POS = np.uint64((1 << 22) - 1)
 

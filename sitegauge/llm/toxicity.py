@@ -27,16 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, fold, labelled_sample, small_batches
-from .words import LOWER, mix, split_words, text_buffer
+from .words import BLANK, LOWER, mix, split_words, text_buffer
 
 SAMPLE, LONGEST = 5000, 20_000
 WINDOW, HIDDEN, EMBED, WORD_SLOTS, GRAM_SLOTS = 16, 8, 4, 1 << 12, 1 << 11
 ROUNDS, STEPS, RATE = 6, 15, 0.02
 OPENINGS, RARE = range(3, 9), 4
 
-BLANK = np.arange(256, dtype=np.uint8)
-BLANK[[i for i in range(128) if not chr(i).isalnum()]] = 32
-
 
 def windows(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start word (within its text) and text of every window; steps of half a window."""

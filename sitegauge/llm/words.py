@@ -15,6 +15,19 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+BLANK = np.arange(256, dtype=np.uint8)
+BLANK[[i for i in range(128) if not chr(i).isalnum()]] = 32
+
+
+
+def fold_case(data: np.ndarray) -> np.ndarray:
+    """Capitals U+00C0 to U+00DE made small, in UTF-8."""
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    data = data.copy()
+    data[at] += 32
+    return data
+
 
 CHUNK = 1 << 18
 _MULT = np.uint64(0x9E3779B97F4A7C15)
