@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, small_batches, small_side
+from .common import Scratch, arrow_rows, small_batches
 from .words import mix, text_buffer
 
 WINDOW, GRAM, HOT = 400, 32, 32
@@ -323,7 +323,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     mixed = kinds.join(crowd, "key").select("key", "content", "n", "r", "d")
     wanted = scratch.save(mixed.groupBy(F.col("r.h").alias("h"), F.col("r.doc_id").alias("_id")).agg(F.collect_list(F.struct(
         "key", "content", "n", F.col("r.start").alias("start"), F.col("r.windows").alias("windows"))).alias("wanted")), "wanted")
-    bodies = docs.join(small_side(wanted, scratch, "wanted"), ["h"]).filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "wanted")
+    bodies = docs.join(wanted, ["h"]).filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "wanted")
     bodies = bodies.mapInArrow(_cut_out, "key long, content long, n long, body binary").dropDuplicates(["key", "content"])
     bodies = scratch.save(bodies.join(crowd.select("key", "d"), "key"), "bodies")
     size = bodies.agg(F.sum(F.when(F.col("d") <= HOT, F.length("body"))).alias("lanes"), F.max("d").alias("d")).first()
@@ -340,5 +340,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = scratch.save(occ.join(part, ["key", "content"]).select("h", F.explode("part").alias("p"), "start").groupBy("h").agg(F.collect_set(F.struct(
         (F.col("start") + F.col("p.lo")).alias("start"), (F.col("start") + F.col("p.hi") + (WINDOW - 1)).alias("end"))).alias("found")), "spans")
     scratch.drop("repeated", "kinds", "wanted", "bodies", "parts")
-    return docs.join(small_side(spans, scratch, "spans"), ["h"], "left").select("doc_id", "text", "found").mapInArrow(
+    return docs.join(spans, ["h"], "left").select("doc_id", "text", "found").mapInArrow(
         _cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
