@@ -219,11 +219,10 @@ def duplicate_key_audit(spark, sf_dir):
     return tables.duplicate_keys(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate")
 
 
-@query("SELECT page_id, 0 AS entities, 20.0 AS no_entity_score FROM pages WHERE false")
+@query()
 def page_entities(spark, sf_dir):
-    """Entities in the pages' JSON-LD (the test pages have none)."""
-    pages = page_features(table(spark, sf_dir, "pages"))
-    return pages.select("page_id", F.size(entities.graph(F.col("jsonld"))).alias("entities"), F.lit(20.0).cast("decimal(3,1)").alias("no_entity_score")).filter("entities > 0")
+    """The number of entities in each page's JSON-LD."""
+    return page_features(table(spark, sf_dir, "pages")).select("page_id", F.size(entities.graph(F.col("jsonld"))).alias("entities"))
 
 
 @query()

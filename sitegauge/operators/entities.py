@@ -38,33 +38,31 @@ def has(value: Column) -> Column:
 
 
 def entity_rows(pages: DataFrame) -> DataFrame:
-    """-> url, pos and the entity's fields; a row for each entity."""
-    return pages.select("url", F.posexplode(graph(F.col("jsonld"))).alias("pos", "e")).select("url", "pos", "e.*")
+    """-> page_url, pos and the entity's fields; a row for each entity."""
+    return pages.select(F.col("url").alias("page_url"), F.posexplode(graph(F.col("jsonld"))).alias("pos", "e")).select("page_url", "pos", "e.*")
 
 
 def reference_edges(pages: DataFrame) -> DataFrame:
-    """-> url, source, target, property, scope (internal if the target is an entity of the page)."""
+    """-> page_url, source, target, property, scope (internal if the target is an entity of the page)."""
     wanted = F.array(*[F.lit(p) for p in REFERENCES])
-    texts = pages.select("url", F.explode("jsonld").alias("b")).select("url", tolerant(F.col("b")).alias("b"))
-    found = texts.select("url", F.explode(F.regexp_extract_all("b", F.lit(r'"@id"\s*:\s*"([^"]*)"'), F.lit(1))).alias("id"), "b")
+    texts = pages.select(F.col("url").alias("page_url"), F.explode("jsonld").alias("b")).select("page_url", tolerant(F.col("b")).alias("b"))
     part = F.explode(F.regexp_extract_all("b", F.lit(r'("\w+"\s*:\s*\{\s*"@id"\s*:\s*"[^"]*"\s*\})'), F.lit(1)))
-    refs = texts.select("url", part.alias("r")).select("url", F.regexp_extract("r", r'^"(\w+)"', 1).alias("property"), F.regexp_extract("r", r'"@id"\s*:\s*"([^"]*)"', 1).alias("target"))
-    own = entity_rows(pages).select("url", F.col("@id").alias("target")).filter("target is not null").distinct().withColumn("_own", F.lit(True))
-    del found
-    return refs.filter(F.array_contains(wanted, F.col("property"))).join(own, ["url", "target"], "left").select(
-        "url", "target", "property", F.when(F.col("_own"), "internal").otherwise("external").alias("scope"))
+    refs = texts.select("page_url", part.alias("r")).select("page_url", F.regexp_extract("r", r'^"(\w+)"', 1).alias("property"), F.regexp_extract("r", r'"@id"\s*:\s*"([^"]*)"', 1).alias("target"))
+    own = entity_rows(pages).select("page_url", F.col("@id").alias("target")).filter("target is not null").distinct().withColumn("_own", F.lit(True))
+    return refs.filter(F.array_contains(wanted, F.col("property"))).join(own, ["page_url", "target"], "left").select(
+        "page_url", "target", "property", F.when(F.col("_own"), "internal").otherwise("external").alias("scope"))
 
 
 def orphan_entities(pages: DataFrame) -> DataFrame:
     """Entities with an id that no reference of their page names."""
-    return entity_rows(pages).filter("`@id` is not null").select("url", F.col("@id").alias("target"), F.col("@type").alias("type")).join(
-        reference_edges(pages).select("url", "target").distinct(), ["url", "target"], "left_anti")
+    return entity_rows(pages).filter("`@id` is not null").select("page_url", F.col("@id").alias("target"), F.col("@type").alias("type")).join(
+        reference_edges(pages).select("page_url", "target").distinct(), ["page_url", "target"], "left_anti")
 
 
 def missing_properties(pages: DataFrame) -> DataFrame:
-    """-> url, type, missing: entities that lack a required property."""
+    """-> page_url, type, missing: entities that lack a required property."""
     cases = F.lit(None).cast("array<string>")
     for kind, names in REQUIRED.items():
         lacking = F.array_compact(F.array(*[F.when(~has(F.col(n)), F.lit(n)) for n in names]))
         cases = F.when(F.col("@type") == kind, lacking).otherwise(cases)
-    return entity_rows(pages).select("url", F.col("@type").alias("type"), cases.alias("missing")).filter(F.size("missing") > 0)
+    return entity_rows(pages).select("page_url", F.col("@type").alias("type"), cases.alias("missing")).filter(F.size("missing") > 0)
