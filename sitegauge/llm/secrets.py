@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]{0,400}[0-9])[A-Za-z0-9+/=_-]{16,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*+[0-9])[A-Za-z0-9+/=_-]{16,}+"
 MASK = "[SECRET]"
 BEFORE, AFTER = 48, 24
 THRESHOLD = 0.5
