@@ -26,23 +26,31 @@ from .common import Scratch
 
 SAMPLE, STEPS, TOLERANCE = 20_000, 40, 1e-4
 
-# Characters and letter groups that tell four languages and junk apart.
-PATTERNS = {"symbols": "[#*$%&<>|]", "uppers": "[A-Z]", "marks": "!", "umlauts": "[äöüß]", "accents": "[éèêçàù]", "tildes": "[ñóíáú]",
-            "english": "th|wh", "german": "ch|ei", "romance": "qu|[aeo]s "}
-STATISTICS = tuple(PATTERNS)
+# Frequent function words of four languages, and characters that tell them and junk apart.
+FUNCTION_WORDS = {"en": "the|and|of|to|that|is|was|for|with|are|this|as", "fr": "le|les|des|et|est|une|du|dans|pour|qui|sur|pas",
+                  "de": "der|die|das|und|ist|nicht|von|mit|ein|auf|zu|den", "es": "el|los|las|y|que|por|una|con|del|para|se|su"}
+PATTERNS = {"symbols": "[#*$%&<>]", "bars": "\\|", "uppers": "[A-Z]", "digits": "[0-9]", "marks": "!", "umlauts": "[äöüß]", "accents": "[éèêçàù]", "tildes": "[ñóíáú]"}
+STATISTICS = tuple(FUNCTION_WORDS) + ("twice",) + tuple(PATTERNS)
+SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def tokens(text: Column) -> Column:
     """Words between white space; a text's leading and trailing white space makes none."""
-    parts = F.split(text, "[\\x20\\x09-\\x0D]+")
+    parts = F.split(text, SPACE)
     blank = lambda i: (F.element_at(parts, i) == "").cast("int")
     return F.coalesce(F.when(F.size(parts) == 1, 1 - blank(1)).otherwise(F.size(parts) - blank(1) - blank(-1)), F.lit(0)).cast("long")
 
 
 def domain_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and shares of characters."""
-    chars = {k: F.regexp_count("text", F.lit(v)) / F.greatest(F.length("text"), F.lit(1)) * 10 for k, v in PATTERNS.items()}
-    return docs.withColumn("n_tokens", tokens(F.col("text"))).withColumns({k: F.least(F.coalesce(c, F.lit(0.0)), F.lit(3.0)) for k, c in chars.items()})
+    """doc_id, n_tokens and shares: of function words and of words like the one before by word, of characters by character."""
+    spaced = docs.withColumns({"_words": F.split("text", SPACE), "_letters": F.split(F.lower("text"), "[^\\p{L}]+")})
+    of = lambda n, whole: n / F.greatest(whole, F.lit(1))
+    one_of = lambda v: lambda w: w.isin(v.split("|"))
+    words = {k: of(F.size(F.filter("_letters", one_of(v))), F.col("n_tokens")) for k, v in FUNCTION_WORDS.items()}
+    words["twice"] = of(F.size(F.filter("_words", lambda w, i: w == F.get("_words", i - 1))), F.col("n_tokens"))
+    chars = {k: of(F.regexp_count("text", F.lit(v)), F.length("text")) * 10 for k, v in PATTERNS.items()}
+    out = spaced.withColumn("n_tokens", tokens(F.col("text"))).withColumns({k: F.least(F.coalesce(c, F.lit(0.0)), F.lit(3.0)) for k, c in (words | chars).items()})
+    return out.drop("_words", "_letters")
 
 
 def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], extra: tuple[str, ...] = ()) -> DataFrame:
