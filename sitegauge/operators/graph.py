@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,20 +22,26 @@ def _saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def click_depths(nodes: DataFrame, links: DataFrame, root: DataFrame, folder: str, limit: int = 1000) -> DataFrame:
+def click_depths(nodes: DataFrame, links: DataFrame, root: DataFrame, folder: str, limit: int | None = None) -> DataFrame:
     """-> key, click_depth: breadth-first levels from root (key); unreachable keys are absent.
 
+    It ends when a level is empty; with a limit, pages beyond so many levels raise an error.
+
     Each level joins the frontier with the links and leaves out what was seen;
     it is written to folder (shared), so no level depends on a lost executor."""
     run = f"{folder.rstrip('/')}/depth-{uuid.uuid4().hex}"
     links = _saved(links.join(nodes.select(F.col("key").alias("dst")), "dst", "left_semi").filter("src <> dst").select("src", "dst").distinct(), f"{run}/links")
     frontier = seen = _saved(root.select("key", F.lit(0).alias("click_depth")), f"{run}/0")
-    for depth in range(1, limit + 1):
+    for depth in count(1):
         ahead = frontier.join(links, F.col("key") == F.col("src")).select(F.col("dst").alias("key")).distinct().join(seen.select("key"), "key", "left_anti")
         frontier = _saved(ahead.select("key", F.lit(depth).alias("click_depth")), f"{run}/{depth}")
         if not frontier.take(1):
             break
+        if limit is not None and depth > limit:
+            raise ValueError(f"pages lie more than {limit} clicks from the homepage")
         seen = seen.unionByName(frontier)
+        if depth % 32 == 0:
+            seen = _saved(seen, f"{run}/seen{depth}")
     return seen
 
 

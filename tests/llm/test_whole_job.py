@@ -1,8 +1,10 @@
 """Cuts that the reviews found: each test fails where an operator does less than its whole job."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.llm.mixing import TARGETS, mix_to_targets, quality_domains
+from sitegauge.operators.graph import click_depths
 
 
 def test_held_out_posteriors(spark):
@@ -18,3 +20,13 @@ def test_held_out_posteriors(spark):
     got = judged.agg(F.avg("right").alias("all"), F.avg(F.when(F.col("domain") == "junk", F.col("right"))).alias("junk")).first()
     print("held-out accuracy, recall of junk:", got)
     assert got["all"] > 0.985 and got["junk"] > 0.95
+
+
+def test_click_depth_has_no_silent_end(spark, tmp_path):
+    nodes = spark.range(41).select(F.col("id").cast("string").alias("key"))
+    links = spark.range(40).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"))
+    root = spark.createDataFrame([("0",)], "key string")
+    with pytest.raises(ValueError):
+        click_depths(nodes, links, root, str(tmp_path), limit=2)
+    got = click_depths(nodes, links, root, str(tmp_path)).collect()
+    assert sorted(int(r["key"]) for r in got) == list(range(41)) and all(int(r["key"]) == r["click_depth"] for r in got)
