@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.llm.mixing import TARGETS, mix_to_targets, quality_domains
+from sitegauge.llm.secrets import redact_secrets, scan_secrets
 from sitegauge.operators.graph import click_depths
 
 
@@ -22,6 +23,22 @@ def test_held_out_posteriors(spark):
     assert got["all"] > 0.985 and got["junk"] > 0.95
 
 
+SECRETS = [("API_KEY=", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "\nB=1"), ("https://x.org/a?token=", "9f86d081884c7d659a2feaa0c55ad015", "&page=2"), ("key AKIA", "QWERTYUIOPASDFGH", " here"),
+           ("SECRET_KEY=", "abcdEFGHijklMNOPqrst", "\n"), ("password: ", "Tr0ub4dor&3", "\n"), ('"password": "', "Wq7!pz", '"'), ('token = "', "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", '" ')]
+OTHERS = ["password: required for all", "the token is the same: see below", "commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "TOKEN=${TOKEN}", "nothing at all"]
+
+
+def test_secrets_of_each_form(spark):
+    texts = ["".join(t) for t in SECRETS] + OTHERS
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [(r["doc_id"], r["candidate"], r["probability"]) for r in scan_secrets(docs).orderBy("doc_id").collect()]
+    print(found)
+    got = {r["doc_id"]: r["text"] for r in redact_secrets(docs).collect()}
+    for i, (before, secret, after) in enumerate(SECRETS):
+        assert got[i] == (before.removesuffix("AKIA") + "[SECRET]" + after), (texts[i], got[i])
+    assert [got[i] for i in range(len(SECRETS), len(texts))] == OTHERS
+
+
 def test_click_depth_has_no_silent_end(spark, tmp_path):
     nodes = spark.range(41).select(F.col("id").cast("string").alias("key"))
     links = spark.range(40).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"))
