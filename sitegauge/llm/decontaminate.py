@@ -12,7 +12,9 @@ taken in blocks of about BLOCK, so what a task holds has a fixed bound:
    short, middle and long passages, so that some window holds a whole copy.
    Windows whose known words weigh too little for any passage are passed over
    (no match is lost by that); the rest are mapped to the latent space, and
-   passages at cosine COSINE or more are candidates.
+   passages at cosine COSINE or more are candidates.  So are all of which the
+   window's words weigh PARAPHRASE or more: a bound no match stays under, so
+   whatever the cosine refuses is found too, however many passages a block has.
 4. A candidate matches if the longest common subsequence with the window, by
    weight, is COPY of the passage, or PARAPHRASE of it and as much of its
    answer (column answer if there is one, else the passage's last third).
@@ -40,6 +42,7 @@ from .words import BLANK, fold_case, mix, split_words, text_buffer
 
 LONGEST, BLOCK, SHORT, RANK = 64, 2048, 8, 96
 COSINE, COPY, PARAPHRASE = 0.6, 0.85, 0.6
+FREQUENT = 128  # words whose weights are a dense table in Overlap
 WIDTHS = ((16, 24, 4), (32, 48, 8), (LONGEST, 96, 16))  # longest passage, window, step
 
 
@@ -71,6 +74,39 @@ def _passages(batches):
         yield arrow_rows(schema, **out)
 
 
+class Overlap:
+    """Weight of each passage's words that a window holds, which no common subsequence exceeds."""
+
+    def __init__(self, passages: list[np.ndarray], weights: np.ndarray):
+        self.n, n_words = len(passages), len(weights)
+        pair, tf = np.unique(np.concatenate([p * self.n + i for i, p in enumerate(passages)]), return_counts=True)
+        word, passage = pair // self.n, pair % self.n
+        value = (tf * weights[word]).astype(np.float32)
+        often = np.argsort(-np.bincount(word, minlength=n_words), kind="stable")[:FREQUENT]
+        self.column = np.full(n_words, -1)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n), np.float32)
+        at = self.column[word]
+        self.dense[at[at >= 0], passage[at >= 0]] = value[at >= 0]
+        self.passage, self.value = passage[at < 0], value[at < 0]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(word[at < 0], minlength=n_words))])
+
+    def of(self, windows: np.ndarray, unknown: int) -> np.ndarray:
+        held = np.sort(windows, 1)
+        new = held != unknown
+        new[:, 1:] &= held[:, 1:] != held[:, :-1]
+        row, at = np.nonzero(new)
+        word = held[row, at]
+        column = self.column[word]
+        flags = np.zeros((len(windows), len(self.dense)), np.float32)
+        flags[row[column >= 0], column[column >= 0]] = 1
+        row, word = row[column < 0], word[column < 0]
+        n = self.first[word + 1] - self.first[word]
+        post = np.repeat(self.first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        rest = np.bincount(np.repeat(row, n) * self.n + self.passage[post], self.value[post], len(windows) * self.n)
+        return flags @ self.dense + rest.reshape(len(windows), self.n)
+
+
 @dataclass
 class Latent:
     """A block of passages and, once filled in, the weights and vectors of its words."""
@@ -118,7 +154,7 @@ class Latent:
         for longest, width, step in WIDTHS:
             own = np.flatnonzero((size > low) & (size <= longest))
             if len(own):
-                self.classes.append((own, width, step, PARAPHRASE * self.total[own].min() * 0.999))
+                self.classes.append((own, width, step, PARAPHRASE * self.total[own].min() * 0.999, Overlap([self.passages[i] for i in own], self.weights)))
             low = longest
         self.size, self.unknown = size, n
 
@@ -140,7 +176,7 @@ class Latent:
         first = np.cumsum(count) - count
         mass = np.concatenate([[0], np.cumsum(self.weights[number], dtype=np.float64)])
         out = []
-        for own, width, step, least in self.classes:
+        for own, width, step, least, overlap in self.classes:
             n_windows = np.where(count > 0, np.maximum(-(-(count - width) // step), 0) + 1, 0)
             row = np.repeat(np.arange(len(count)), n_windows)
             nth = np.arange(n_windows.sum()) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
@@ -153,7 +189,7 @@ class Latent:
                 window = np.where(at < stop[part][:, None], number[np.minimum(at, max(len(number) - 1, 0))], self.unknown)
                 point = self.scaled[window].sum(1)
                 cosine = point @ self.point[own].T / np.maximum(np.linalg.norm(point, axis=1, keepdims=True), 1e-9)
-                w, p = np.nonzero(cosine >= COSINE)
+                w, p = np.nonzero((cosine >= COSINE) | (overlap.of(window, self.unknown) >= PARAPHRASE * self.total[own] * 0.999))
                 for cut in range(0, len(w), 2048):
                     out += self._check(row[part], start[part] - first[row[part]], window, w[cut : cut + 2048], own[p[cut : cut + 2048]])
         return out
