@@ -2,43 +2,75 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import mix
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (local tests) a folder of our own is made."""
+    Where that is unset, a local session (tests) gets a folder of its own; a cluster gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sitegauge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until they clash with no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 class Scratch:
-    """Tables written once and reread, so that a lost executor costs no lineage."""
+    """Tables written once and reread, so that a lost executor costs no lineage.
+
+    Tables that a lazy result still reads go when the driver's process ends."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", set()
+        atexit.register(self._end)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(self.path(name))
+            self.names.discard(name)
+
+    def drop_all_but(self, *kept: str) -> None:
+        self.drop(*(self.names - set(kept)))
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            self._delete(self.root)
 
 
 SMALL_BYTES = 8 << 20
@@ -53,7 +85,9 @@ def small_side(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
-    """Arrow batches small enough for a Python worker whatever the texts' length."""
+    """Arrow batches small enough for a Python worker whatever the texts' length.
+
+    Results are lazy, so the session keeps these settings."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
@@ -83,6 +117,33 @@ def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+FILTER_BITS = 1 << 23
+
+
+def slot_bitmap(values: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (1 MB) that marks the hash slot of each value of column v (long)."""
+
+    def slots(batches):
+        bits = np.zeros(FILTER_BITS >> 6, np.uint64)
+        for batch in batches:
+            slot = mix(batch.column("v").drop_null().to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)
+            np.bitwise_or.at(bits, slot >> np.uint64(6), np.uint64(1) << (slot & np.uint64(63)))
+        at = np.flatnonzero(bits)
+        yield arrow_rows(pa.schema([("word", pa.int64()), ("mask", pa.int64())]), word=at, mask=bits[at].view(np.int64))
+
+    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
+    words = values.mapInArrow(slots, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    for r in words.groupBy(F.shiftright("word", 11)).agg(F.collect_list("word").alias("word"), F.collect_list("mask").alias("mask")).collect():
+        bits[np.array(r["word"])] = np.array(r["mask"], np.int64).view(np.uint64)
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the bitmap marks each value's slot; true for all values it was made from."""
+    slot = mix(values) % np.uint64(FILTER_BITS)
+    return ((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

@@ -1,17 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into passages of at most LONGEST words (runs of bytes
-other than white space and ASCII punctuation, A-Z and U+00C0-U+00DE lower-cased).  Passages are
-taken in blocks of about BLOCK, so what a task holds has a fixed bound:
-
-1. Document frequencies of the block's words over all documents give the weights
-   ln(1 + N / df), N rows.
-2. Randomised SVD of the TF-IDF matrix: passages times a Gaussian sketch, the
-   sketch's Gram matrix and its product with the passages summed by Spark.
+other than white space and ASCII punctuation, A-Z and U+00C0-U+00DE lower-cased):
+
+1. Document frequencies of all passages' words over all documents, from one
+   pass, give the weights ln(1 + N / df), N rows.
+2. Passages are taken in blocks of about BLOCK, so what a task holds has a fixed
+   bound.  Randomised SVD of a block's TF-IDF matrix: passages times a Gaussian
+   sketch, the sketch's Gram matrix and its product with the passages summed by
+   Spark.
 3. Every document is read in overlapping windows, in one of three widths for
    short, middle and long passages, so that some window holds a whole copy.
-   Windows whose known words weigh too little for any passage are passed over
-   (no match is lost by that); the rest are mapped to the latent space, and
+   A window can only match a passage of which it holds a signature word: of its
+   rarest words those that weigh so much that no match does without all of them.
+   Windows without any signature word, or whose known words weigh too little,
+   are passed over (no match is lost); the rest are mapped to the latent space, and
    passages at cosine COSINE or more are candidates.  So are all of which the
    window's words weigh PARAPHRASE or more: a bound no match stays under, so
    whatever the cosine refuses is found too, however many passages a block has.
@@ -37,11 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, small_batches
+from .common import Scratch, arrow_rows, in_bitmap, slot_bitmap, small_batches
 from .words import BLANK, fold_case, mix, split_words, text_buffer
 
-LONGEST, BLOCK, SHORT, RANK = 64, 2048, 8, 96
+LONGEST, BLOCK, SHORT, RANK = 64, 4096, 8, 96
 COSINE, COPY, PARAPHRASE = 0.6, 0.85, 0.6
+FLUSH = 1 << 18  # pairs that a task of the frequency pass holds
 FREQUENT = 128  # words whose weights are a dense table in Overlap
 WIDTHS = ((16, 24, 4), (32, 48, 8), (LONGEST, 96, 16))  # longest passage, window, step
 
@@ -136,12 +140,13 @@ class Latent:
         return np.where(self.words[at] == hashes, at, len(self.words))
 
     def prepare(self) -> None:
-        """Padded tables for search; an unknown word weighs nothing."""
+        """Padded tables for search, made where the search runs; an unknown word weighs nothing."""
         n = len(self.words)
         self.weights = np.append(self.weight, 0).astype(np.float32)
         self.scaled = np.vstack([self.vector * self.weight[:, None], np.zeros((1, self.vector.shape[1]))]).astype(np.float32)
         size = np.array([len(p) for p in self.passages])
         self.total = np.array([self.weights[p].sum() for p in self.passages])
+        self.need = self.total * np.where(size < SHORT, 0.999, PARAPHRASE * 0.999)  # the least weight that a match shares
         self.padded = np.full((len(size), LONGEST), -1)
         self.asked = np.full((len(size), max([LONGEST, *map(len, self.answers)])), -1)
         for i, (p, a) in enumerate(zip(self.passages, self.answers, strict=True)):
@@ -154,10 +159,21 @@ class Latent:
         for longest, width, step in WIDTHS:
             own = np.flatnonzero((size > low) & (size <= longest))
             if len(own):
-                self.classes.append((own, width, step, PARAPHRASE * self.total[own].min() * 0.999, Overlap([self.passages[i] for i in own], self.weights)))
+                self.classes.append((own, width, step, self.need[own].min(), self.signature(own), Overlap([self.passages[i] for i in own], self.weights)))
             low = longest
         self.size, self.unknown = size, n
 
+    def signature(self, own: np.ndarray) -> np.ndarray:
+        """Marks the rarest words of each passage that together weigh more than a match may lack."""
+        marked = np.zeros(len(self.weights), bool)
+        for i in own:
+            word, tf = np.unique(self.passages[i], return_counts=True)
+            weight = self.weights[word] * tf
+            order = np.argsort(-self.weights[word], kind="stable")
+            spare = self.total[i] - self.need[i]
+            marked[word[order[: int(np.searchsorted(np.cumsum(weight[order]), spare * 1.001, "right")) + 1]]] = True
+        return marked
+
     def common(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Weight of the longest common subsequence of each window with its target, pair by pair."""
         best = np.zeros((len(windows), targets.shape[1] + 1), np.float32)
@@ -176,26 +192,27 @@ class Latent:
         first = np.cumsum(count) - count
         mass = np.concatenate([[0], np.cumsum(self.weights[number], dtype=np.float64)])
         out = []
-        for own, width, step, least, overlap in self.classes:
+        for own, width, step, least, signature, overlap in self.classes:
+            marks = np.concatenate([[0], np.cumsum(signature[number])])
             n_windows = np.where(count > 0, np.maximum(-(-(count - width) // step), 0) + 1, 0)
             row = np.repeat(np.arange(len(count)), n_windows)
             nth = np.arange(n_windows.sum()) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
             start = first[row] + np.maximum(np.minimum(nth * step, count[row] - width), 0)
             stop = np.minimum(start + width, first[row] + count[row])
-            alive = np.flatnonzero(mass[stop] - mass[start] >= least)
+            alive = np.flatnonzero((mass[stop] - mass[start] >= least) & (marks[stop] > marks[start]))
             for lo in range(0, len(alive), 512):
                 part = alive[lo : lo + 512]
                 at = start[part][:, None] + np.arange(width)
                 window = np.where(at < stop[part][:, None], number[np.minimum(at, max(len(number) - 1, 0))], self.unknown)
                 point = self.scaled[window].sum(1)
                 cosine = point @ self.point[own].T / np.maximum(np.linalg.norm(point, axis=1, keepdims=True), 1e-9)
-                w, p = np.nonzero((cosine >= COSINE) | (overlap.of(window, self.unknown) >= PARAPHRASE * self.total[own] * 0.999))
+                w, p = np.nonzero((cosine >= COSINE) | (overlap.of(window, self.unknown) >= self.need[own]))
                 for cut in range(0, len(w), 2048):
                     out += self._check(row[part], start[part] - first[row[part]], window, w[cut : cut + 2048], own[p[cut : cut + 2048]])
         return out
 
     def _check(self, row, word, window, w, p):
-        enough = (self.weights[window].sum(1))[w] >= PARAPHRASE * self.total[p] * 0.999
+        enough = (self.weights[window].sum(1))[w] >= self.need[p]
         w, p = w[enough], p[enough]
         share = self.common(window[w], self.padded[p]) / np.maximum(self.total[p], 1e-9)
         sure = share >= np.where(self.size[p] < SHORT, 0.999, COPY)
@@ -206,17 +223,28 @@ class Latent:
         return [(int(row[a]), int(b), float(s), int(word[a])) for a, b, s in zip(w[sure], p[sure], share[sure], strict=True)]
 
 
-def _frequencies(batches, model: Latent):
-    total = np.zeros(len(model.words) + 1, np.int64)
+def _frequencies(batches, bits: np.ndarray):
+    """(word, documents) of the words whose slots the bitmap holds, and (null, rows); partial sums."""
+    held, size, rows = [], 0, 0
+    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
+
+    def summed():
+        word, n = np.unique(np.concatenate(held), return_counts=True)
+        return arrow_rows(schema, word=word.view(np.int64), n=n)
+
     for batch in batches:
         hashes, text, _ = _words(batch.column("text"))
-        number = model.numbers(hashes)
-        known = number < len(model.words)
-        pair = np.unique(text[known] * np.int64(len(model.words)) + number[known])
-        total[:-1] += np.bincount(pair % len(model.words), minlength=len(model.words))
-        total[-1] += len(batch)
-    at = np.flatnonzero(total)
-    yield arrow_rows(pa.schema([("word", pa.int64()), ("n", pa.int64())]), word=at, n=total[at])
+        known = in_bitmap(bits, hashes)
+        word, number = np.unique(hashes[known], return_inverse=True)
+        pair = np.unique(text[known] * np.int64(max(len(word), 1)) + number)
+        held.append(word[pair % max(len(word), 1)])
+        size, rows = size + len(pair), rows + len(batch)
+        if size > FLUSH:
+            yield summed()
+            held, size = [], 0
+    if held:
+        yield summed()
+    yield arrow_rows(schema, word=[None], n=[rows])
 
 
 def _sketch(words: np.ndarray) -> np.ndarray:
@@ -242,27 +270,26 @@ def _products(batches, words: np.ndarray, weight: np.ndarray):
     yield arrow_rows(pa.schema([("word", pa.int64()), ("v", pa.list_(pa.float64()))]), word=keys, v=[*gram, *cross.values()])
 
 
-def fit_block(docs: DataFrame, passages: DataFrame) -> Latent:
-    """Weights over all documents and latent vectors of one block of passages (about BLOCK)."""
+def fit_block(passages: DataFrame, frequency: DataFrame, n_docs: int) -> Latent:
+    """Weights and latent vectors of one block of passages (about BLOCK).  frequency: word, n."""
     model = Latent.of(passages.collect())
-    df = np.zeros(len(model.words) + 1)
-    for r in docs.select("text").mapInArrow(partial(_frequencies, model=model), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-        df[r["word"]] = r["n"]
-    model.weight = np.log(1 + max(df[-1], 1) / np.maximum(df[:-1], 1))
+    df = np.zeros(len(model.words))
+    words = passages.select(F.explode("words").alias("word")).distinct()
+    for r in words.join(frequency, "word").collect():
+        df[np.searchsorted(model.words, np.array(r["word"]).view(np.uint64))] = r["n"]
+    model.weight = np.log(1 + max(n_docs, 1) / np.maximum(df, 1))
     rows = passages.repartition(4).mapInArrow(partial(_products, words=model.words, weight=model.weight), "word long, v array<double>").select(
-        "word", F.posexplode("v").alias("i", "v")).groupBy("word", "i").agg(F.sum("v").alias("v")).toPandas()
-    word, i = rows["word"].to_numpy(), rows["i"].to_numpy()
+        "word", F.posexplode("v").alias("i", "v")).groupBy("word", "i").agg(F.sum("v").alias("v")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("v")).collect()
     gram, cross = np.zeros((RANK, RANK)), np.zeros((len(model.words), RANK))
-    gram[-1 - word[word < 0], i[word < 0]] = rows["v"].to_numpy()[word < 0]
-    cross[word[word >= 0], i[word >= 0]] = rows["v"].to_numpy()[word >= 0]
+    for r in rows:
+        (gram if r["word"] < 0 else cross)[-1 - r["word"] if r["word"] < 0 else r["word"]] = r["v"]
     # A's projection on the sketch's range is B = gram^-1/2 cross'; its right singular vectors span the latent space
     value, base = np.linalg.eigh(gram)
     use = value > max(value[-1], 1e-12) * 1e-9
     b = cross @ (base[:, use] / np.sqrt(value[use]))
     value, turn = np.linalg.eigh(b.T @ b)
     use = value > max(value[-1], 1e-12) * 1e-9
-    model.vector = b @ (turn[:, use] / np.sqrt(value[use]))
-    model.prepare()
+    model.vector = (b @ (turn[:, use] / np.sqrt(value[use]))).astype(np.float32)
     return model
 
 
@@ -273,12 +300,18 @@ def _blocks(docs: DataFrame, benchmark: DataFrame):
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text", F.coalesce(answer, F.lit("")).alias("answer"))
     passages = scratch.save(items.mapInArrow(_passages, PASSAGE).filter("item_id is not null"), "passages")
     blocks = -(-passages.count() // BLOCK)
+    if not blocks:
+        return
+    bits = slot_bitmap(passages.select(F.explode("words").alias("v")))
+    counts = scratch.save(docs.select("text").mapInArrow(partial(_frequencies, bits=bits), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequencies")
+    n_docs = counts.filter("word is null").first()["n"]
     for k in range(blocks):
-        yield fit_block(docs, passages.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == k))
+        yield fit_block(passages.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == k), counts, n_docs)
 
 
 def _matches(batches, model: Latent):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()), ("at_word", pa.int64())])
+    model.prepare()
     for batch in batches:
         best = {}
         for row, passage, share, at in model.find(batch.column("text")):
@@ -302,6 +335,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _clean(batches, model: Latent):
+    model.prepare()
     for batch in batches:
         keep = np.ones(len(batch), bool)
         keep[[m[0] for m in model.find(batch.column("text"))]] = False
