@@ -13,6 +13,8 @@ builds from hashes of a counter for common credential and non-credential forms.
 Results: scan_secrets gives one row for each candidate, in text order; null and
 empty texts give none.  redact_secrets keeps every row and column; null stays
 null, and text without a secret stays as it is.  Repeated rows repeat results.
+Texts and candidates are read whole, however long.  A null id is passed through.
+A probability of exactly THRESHOLD is a secret.  Columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch, fresh, small_side
+
 MASK = "[SECRET]"
 BEFORE, AFTER = 48, 24
 THRESHOLD = 0.5
@@ -57,10 +61,10 @@ def features(before: Column, candidate: Column, after: Column) -> dict[str, Colu
     share = lambda p: F.regexp_count(candidate, F.lit(p)) / n
     flag = lambda c: c.cast("double")
     return {
-        "size": F.least(n, F.lit(200.0)), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "lowers": share("[a-z]"),
+        "size": F.log1p(n), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "lowers": share("[a-z]"),
         "hex_only": flag(candidate.rlike("^([0-9a-f]+|[0-9A-F]+)$")), "digits_only": flag(candidate.rlike("^[0-9+/=_-]+$")),
         "turns": share("(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]"),
-        "distinct": F.size(F.array_distinct(F.split(F.left(candidate, F.lit(200)), ""))) / F.least(n, F.lit(64.0)),
+        "distinct": F.size(F.array_distinct(F.split(candidate, ""))) / F.least(n, F.lit(64.0)),
         "covered": 1 - F.length(F.regexp_replace(low, PARTS, "")) / n,
         "slashes": share("/"), "dashes": share("[-_]"), "after_path": flag(before.rlike(r"(/|\\|://\S*|\.)$")),
         "named": flag(near.rlike(CREDENTIAL)), "other_name": flag(near.rlike(IDENTIFIER)),
@@ -145,16 +149,19 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None) -> DataFram
 
 def redact_secrets(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """The documents with every secret replaced by MASK; n_chars follows if there is one."""
+    h, s, nos = fresh(docs, "h", "s", "nos")
     has = F.col("text").rlike(CANDIDATE)
     touched, rest = docs.filter(has), docs.filter(~F.coalesce(has, F.lit(False)))
-    found = touched.select(F.xxhash64("text").alias("_h"), F.sha2("text", 256).alias("_s"), F.explode(_parts(F.col("text"))).alias("p")).select(
-        "_h", "_s", F.col("p.no").alias("no"), "p.before", "p.candidate", "p.after")
-    secret = _judged(found, findings, docs.sparkSession).filter("is_secret").groupBy("_h", "_s").agg(F.collect_set("no").alias("_nos"))
-    joined = touched.withColumns({"_h": F.xxhash64("text"), "_s": F.sha2("text", 256)}).join(secret, ["_h", "_s"], "left")
+    named = {h: F.xxhash64("text"), s: F.sha2("text", 256)}
+    found = touched.select(named[h].alias(h), named[s].alias(s), F.explode(_parts(F.col("text"))).alias("p")).select(
+        h, s, F.col("p.no").alias("no"), "p.before", "p.candidate", "p.after")
+    scratch = Scratch(docs.sparkSession)
+    secret = scratch.save(_judged(found, findings, docs.sparkSession).filter("is_secret").groupBy(h, s).agg(F.collect_set("no").alias(nos)), "secrets")
+    joined = touched.withColumns(named).join(small_side(secret, scratch, "secrets"), [h, s], "left")
     pieces, found = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     rebuilt = F.array_join(F.transform(pieces, lambda s, i: F.concat(s, F.when(i >= F.size(found), F.lit(""))
-                           .when(F.array_contains("_nos", i), F.lit(MASK)).otherwise(F.coalesce(F.try_element_at(found, i + 1), F.lit(""))))), "")
-    out = joined.withColumn("text", F.when(F.col("_nos").isNull(), F.col("text")).otherwise(rebuilt))
+                           .when(F.array_contains(nos, i), F.lit(MASK)).otherwise(F.coalesce(F.try_element_at(found, i + 1), F.lit(""))))), "")
+    out = joined.withColumn("text", F.when(F.col(nos).isNull(), F.col("text")).otherwise(rebuilt))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_nos").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(nos).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns).unionByName(rest)
