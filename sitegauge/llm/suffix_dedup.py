@@ -315,9 +315,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5("text")).alias("h"))
     occ = scratch.save(docs.filter(F.octet_length("text") >= WINDOW).mapInArrow(_occurrences, OCCURRENCE), "occurrences")
-    again = occ.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    again = scratch.save(occ.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "again")  # saved, so that the join can split a hot key
     occ = scratch.save(occ.join(again, "key"), "repeated")
-    scratch.drop("occurrences")
+    scratch.drop("occurrences", "again")
     kinds = scratch.save(occ.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("h", "doc_id", "start", "windows")).alias("r")), "kinds")
     crowd = kinds.groupBy("key").agg(F.count("*").alias("d")).filter("d > 1")
     mixed = kinds.join(crowd, "key").select("key", "content", "n", "r", "d")
@@ -339,6 +339,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     part = scratch.save(whole.unionByName(single), "parts")
     spans = scratch.save(occ.join(part, ["key", "content"]).select("h", F.explode("part").alias("p"), "start").groupBy("h").agg(F.collect_set(F.struct(
         (F.col("start") + F.col("p.lo")).alias("start"), (F.col("start") + F.col("p.hi") + (WINDOW - 1)).alias("end"))).alias("found")), "spans")
-    scratch.drop("repeated", "kinds", "wanted", "bodies", "parts")
+    scratch.drop_all_but("spans")
     return docs.join(spans, ["h"], "left").select("doc_id", "text", "found").mapInArrow(
         _cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
