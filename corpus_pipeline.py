@@ -1,8 +1,12 @@
 """The corpus pipeline: five stages, each reading what the one before it wrote.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last keep the columns of docs.  Null texts fail the quality stage like empty
-ones; rows with a null id pass the near-duplicate stage, which names rows by id.
+last keep the columns of docs, whatever names those have.  Empty tables give
+empty results.  Null and empty texts score like a text without bytes in the
+quality stage, are linked with nothing, hold no benchmark item and no secret,
+and have no tokens.  Texts are read whole, however long.  Rows that repeat an id
+and text become one row in the near-duplicate stage; all other stages judge
+every row by itself, so equal texts fare alike.  A null id is a row like others.
 """
 
 from __future__ import annotations
@@ -12,10 +16,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import Scratch, small_side
+from sitegauge.llm.common import Scratch, fresh
 from sitegauge.llm.decontaminate import keep_clean
 from sitegauge.llm.mixing import mix_to_targets
-from sitegauge.llm.ngram_join import ngram_join
+from sitegauge.llm.ngram_join import keep_one_of_each
 from sitegauge.llm.quality import keep_quality
 from sitegauge.llm.secrets import redact_secrets
 
@@ -32,17 +36,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word Jaccard similarity of 0.8: that of the smallest id.
-
-    Rows that repeat an id and text are one document."""
-    scratch = Scratch(spark)
-    groups = scratch.save(ngram_join(docs), "groups").select(F.col("doc_id").alias("_id"), "component_id")
-    losers = scratch.save(groups.filter("_id <> component_id").select("_id").distinct(), "losers")
-    repeated = scratch.save(groups.groupBy("_id").count().filter("count > 1 and _id is not null").select("_id"), "repeated")
-    docs = docs.join(small_side(losers, scratch, "losers"), F.col("doc_id") == F.col("_id"), "left_anti")
-    repeats = small_side(repeated, scratch, "repeated")
-    once = docs.join(repeats, F.col("doc_id") == F.col("_id"), "left_anti")
-    return once.unionByName(docs.join(repeats, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    """One document of each group linked by five-word Jaccard similarity of 0.8: that of the smallest id."""
+    return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +51,17 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """-> doc_id, lang, source, n_tokens, p_<language>, rate, copies (rate rounded by a hash of the id, so that its mean is the rate)."""
-    ids = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id")).distinct()
-    labelled = docs.join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", F.col("lang").alias("domain"))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    return mix_to_targets(docs, labelled, TARGETS, ("lang", "source")).withColumn("copies", F.floor(F.col("rate") + draw).cast("long"))
+    """-> doc_id, lang, source, n_tokens, p_<language>, rate, copies: the documents of the mixture and how often each is taken.
+
+    copies is the rate, rounded up or down by a hash of id and text, so that its
+    mean is the rate; documents with no copies are left out.  Of labelled rows
+    the language is the domain; without any, every document belongs to all alike."""
+    key, draw = fresh(docs, "id", "draw")
+    ids = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias(key)).distinct()
+    labelled = docs.join(ids, F.col("doc_id") == F.col(key)).select("doc_id", F.col("lang").alias("domain"))
+    docs = docs.withColumn(draw, F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20))
+    out = mix_to_targets(docs, labelled, TARGETS, ("lang", "source", draw))
+    return out.withColumn("copies", F.floor(F.col("rate") + F.col(draw)).cast("long")).drop(draw).filter("copies > 0")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
