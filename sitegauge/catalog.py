@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitegauge.functions import scores, text, urls
-from sitegauge.operators import ai_rules, entities, graph, rules, tables
+from sitegauge.operators import ai_rules, entities, graph, legacy_rules, rules, tables
 from sitegauge.plans import page_analysis
+from sitegauge.registered import entities as _entities, sites as _sites, texts as _texts  # noqa: F401
+from sitegauge.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from sitegauge.sources.html import page_features, parse_pages
+from sitegauge.sources.scratch import saved, shared_folder
+from sitegauge.sources.signals import page_signals
 from sitegauge.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _folder(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; one of our own only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sitegauge-")
-
 
 VISIBLE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<(?:noscript|template)\b.*?</(?:noscript|template)\s*>', ' ', 'g')"""
 
@@ -45,14 +28,19 @@ def _stripped(expr: str) -> str:
 
 
 PAGE_CTE = rf"""p0 AS (SELECT page_id, url, {VISIBLE} AS v FROM pages),
-p1 AS (SELECT page_id, url, v, {_stripped("regexp_extract(v, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {_stripped("v")} AS body,
+p1 AS (SELECT page_id, url, v, coalesce(regexp_extract_all(v, '(?is)<meta\b[^>]*name\s*=\s*["'']description["''][^>]*>'), []) AS descriptions, regexp_extract(v, '(?is)<link\b[^>]*rel\s*=\s*["'']canonical["''][^>]*>', 0) AS canon, {_stripped("regexp_extract(v, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {_stripped("v")} AS body,
   list_transform(regexp_extract_all(v, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), lambda h: {_stripped("h")}) AS h1r FROM p0),
-p2 AS (SELECT page_id, url, title, body, list_filter(h1r, lambda h: h <> '') AS h1s, len(list_filter(string_split(body, ' '), lambda w: w <> '')) AS word_count,
+p2 AS (SELECT page_id, url, title, body, descriptions, canon, trim(coalesce(regexp_extract(descriptions[1], '(?is)content\s*=\s*["'']([^"'']*)["'']', 1), '')) AS description,
+  list_transform(regexp_extract_all(v, '(?is)<h[1-6]\b'), lambda h: CAST(h[3] AS INTEGER)) AS levels, list_filter(h1r, lambda h: h <> '') AS h1s, len(list_filter(string_split(body, ' '), lambda w: w <> '')) AS word_count,
   regexp_extract(lower(url), '/contact|/support|/help', 0) <> '' OR (regexp_extract(lower(url), '/blog|/article|/post|/service|/solution|/about|/team', 0) = ''
   AND regexp_matches(lower(body), 'contact form|email us|get in touch|contact us')) AS contact FROM p1),
 issues AS (
   SELECT page_id, url, 'title_missing' AS rule_id, 'high' AS severity FROM p2 WHERE title = ''
-  UNION ALL SELECT page_id, url, 'meta_description_missing', 'high' FROM p2
+  UNION ALL SELECT page_id, url, 'meta_description_missing', 'high' FROM p2 WHERE description = ''
+  UNION ALL SELECT page_id, url, 'multiple_meta_descriptions', 'medium' FROM p2 WHERE len(descriptions) > 1
+  UNION ALL SELECT page_id, url, 'meta_description_too_short', 'medium' FROM p2 WHERE length(description) BETWEEN 1 AND 119
+  UNION ALL SELECT page_id, url, 'meta_description_too_long', 'medium' FROM p2 WHERE length(description) > 158
+  UNION ALL SELECT page_id, url, 'heading_hierarchy_skipped', 'medium' FROM p2 WHERE len(list_filter(range(1, len(levels)), lambda i: levels[i + 1] - levels[i] > 1)) > 0
   UNION ALL SELECT page_id, url, 'title_too_short', 'high' FROM p2 WHERE length(title) BETWEEN 1 AND 29
   UNION ALL SELECT page_id, url, 'title_too_long', 'medium' FROM p2 WHERE length(title) > 60
   UNION ALL SELECT page_id, url, 'h1_missing', 'high' FROM p2 WHERE len(h1s) = 0
@@ -60,7 +48,7 @@ issues AS (
   UNION ALL SELECT page_id, url, 'thin_content', 'high' FROM p2 WHERE word_count < 300 AND NOT contact
   UNION ALL SELECT page_id, url, 'keyword_not_in_title', 'high' FROM p2 WHERE len(h1s) > 0 AND len(list_filter(string_split(h1s[1], ' '), lambda w: w <> '')) > 2 AND NOT contains(lower(title), lower(h1s[1])) AND NOT contact
   UNION ALL SELECT page_id, url, 'https_not_enforced', 'high' FROM p2 WHERE starts_with(url, 'http://')
-  UNION ALL SELECT page_id, url, 'canonical_tag_errors', 'high' FROM p2
+  UNION ALL SELECT page_id, url, 'canonical_tag_errors', 'high' FROM p2 WHERE canon = ''
   UNION ALL SELECT page_id, url, 'noindex_on_admin_pages', 'high' FROM p2 WHERE regexp_matches(lower(url), '/admin|/login|/dashboard|/wp-admin|/wp-login'))"""
 SCORE_CTE = PAGE_CTE + """,
 counted AS (SELECT p2.page_id, p2.url, CAST(p2.word_count AS INTEGER) AS word_count, count_if(severity = 'high') AS high_issues, count_if(severity = 'medium') AS medium_issues, count(rule_id) AS issues
@@ -96,10 +84,13 @@ def issue_counts(spark, sf_dir):
     return page_analysis.page_issues(table(spark, sf_dir, "pages")).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {PAGE_CTE}, n AS (SELECT count(*) AS c FROM p2), f AS (SELECT CASE WHEN rule_id IN ('https_not_enforced', 'canonical_tag_errors', 'noindex_on_admin_pages') THEN 'Crawlability' ELSE 'Content' END AS category, count(*) AS failed FROM issues GROUP BY 1)
-SELECT category, CAST(CASE category WHEN 'Content' THEN 15 ELSE 3 END AS BIGINT) AS n_rules, failed, CAST(CASE category WHEN 'Content' THEN 15 ELSE 3 END * c - failed AS BIGINT) AS passed FROM f, n""")
+@query(f"""WITH {PAGE_CTE}, r AS (SELECT unnest(['multiple_meta_descriptions', 'multiple_title_tags', 'title_missing', 'meta_description_missing', 'title_too_short', 'title_too_long', 'meta_description_too_short', 'meta_description_too_long', 'h1_missing', 'multiple_h1_tags',
+  'heading_hierarchy_skipped', 'thin_content', 'keyword_not_in_title', 'keyword_not_in_h1', 'duplicate_content', 'https_not_enforced', 'canonical_tag_errors', 'noindex_on_admin_pages']) AS rule_id),
+k AS (SELECT CASE WHEN rule_id IN ('https_not_enforced', 'canonical_tag_errors', 'noindex_on_admin_pages') THEN 'Crawlability' ELSE 'Content' END AS category, rule_id FROM r),
+f AS (SELECT category, count(*) AS failed FROM issues JOIN k USING (rule_id) GROUP BY 1), c AS (SELECT category, count(*) AS n_rules FROM k GROUP BY 1)
+SELECT category, n_rules, coalesce(failed, 0) AS failed, n_rules * (SELECT count(*) FROM p2) - coalesce(failed, 0) AS passed FROM c LEFT JOIN f USING (category)""")
 def rule_coverage(spark, sf_dir):
-    features = page_features(table(spark, sf_dir, "pages"))
+    features = saved(page_features(table(spark, sf_dir, "pages")))
     return rules.coverage(features, rules.evaluate(features, rules.content_rules()), rules.content_rules())
 
 
@@ -124,6 +115,16 @@ def url_types(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.url_type(F.col("url")).alias("url_type"), urls.sitemap_type(F.col("url")).alias("sitemap_type"))
 
 
+@query(r"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS h, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages)
+SELECT page_id, 'https://' || regexp_replace(h, '^www\.', '') || regexp_replace(lower(p), '/+$', '') AS bare, CASE WHEN p = '/' THEN 'https://' || h || p || CASE WHEN q = '' THEN '' ELSE '?' || q END ELSE regexp_replace('https://' || h || p || CASE WHEN q = '' THEN '' ELSE '?' || q END, '/+$', '') END AS sitemap_form, regexp_replace(h, '^www\.', '') AS domain,
+'https://' || h || '/a/c/x' || CASE page_id % 2 WHEN 0 THEN '' ELSE '/' END AS dotted, 'https://' || h || '/a/k' AS target FROM u""")
+def url_forms(spark, sf_dir):
+    u = F.regexp_replace("url", "^http://", "https://")
+    base = F.concat(F.regexp_extract(u, "^([a-z]+://[^/?#]*)", 1), F.lit("/a/b/page.html"))
+    dotted = urls.resolve_link(base, F.when(F.col("page_id") % 2 == 0, "../c/./x").otherwise("../c/x/."))
+    return table(spark, sf_dir, "pages").select("page_id", urls.bare_url(u).alias("bare"), urls.sitemap_url(u).alias("sitemap_form"), urls.plain_domain(u).alias("domain"), dotted.alias("dotted"), urls.link_target(base, F.lit("../%6B/?q=1#f")).alias("target"))
+
+
 @query(r"""WITH t AS (SELECT url, CASE WHEN regexp_matches(lower(url), '/pages/|/services/|/service/|/about|/contact') THEN 1 WHEN contains(lower(url), '/collections/') THEN 2 WHEN contains(lower(url), '/products/') THEN 3 WHEN contains(lower(url), '/blogs/') THEN 4 ELSE 5 END AS r FROM pages)
 SELECT url, ['main', 'collection', 'product', 'blog', 'other'][r] AS url_type FROM t ORDER BY r, regexp_replace(trim(lower(url)), '/+$', ''), url LIMIT 25""")
 def url_selection(spark, sf_dir):
@@ -181,7 +182,7 @@ def question_answer_overlap(spark, sf_dir):
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM r WHERE n = 1""")
 def latest_by_key(spark, sf_dir):
-    out = tables.latest(table(spark, sf_dir, "orders"), ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey"))
+    out = tables.latest(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey")
     return out.select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
 
 
@@ -219,7 +220,7 @@ def duplicate_key_audit(spark, sf_dir):
     return tables.duplicate_keys(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate")
 
 
-@query()
+@query(r"""SELECT page_id, CAST(len(regexp_extract_all(coalesce(html, ''), '(?i)"@type"')) AS INTEGER) AS entities FROM pages""")
 def page_entities(spark, sf_dir):
     """The number of entities in each page's JSON-LD."""
     return page_features(table(spark, sf_dir, "pages")).select("page_id", F.size(entities.graph(F.col("jsonld"))).alias("entities"))
@@ -228,26 +229,60 @@ def page_entities(spark, sf_dir):
 @query()
 def all_issues(spark, sf_dir):
     """The whole rule catalog, with link graph and copies."""
-    return page_analysis.full_analysis(table(spark, sf_dir, "pages"), _folder(spark))
+    return page_analysis.full_analysis(table(spark, sf_dir, "pages"), shared_folder(spark))
 
 
 @query()
+def shipped_issues(spark, sf_dir):
+    """Issues under the shipped wiring, which drops many signals before the rules read them."""
+    return rules.shipped_issues(saved(page_signals(table(spark, sf_dir, "pages"))))
+
+
+KEY = r"""lower(regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.-]*://)', 1)) || lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) || regexp_replace(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')
+|| CASE WHEN regexp_extract({0}, '^[^?#]*\?([^#]*)', 1) = '' THEN '' ELSE '?' || regexp_extract({0}, '^[^?#]*\?([^#]*)', 1) END""".format
+
+
+@query(rf"""WITH RECURSIVE {LINKS}, n AS (SELECT url, {KEY('url')} AS key, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS host, regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') = '' AS home FROM pages),
+e0 AS (SELECT src, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href ELSE regexp_extract(src, '^([A-Za-z]+://[^/?#]*)', 1) || CASE WHEN href LIKE '/%' THEN href ELSE '/' || href END END AS dst FROM l1),
+e AS (SELECT {KEY('src')} AS src, {KEY("regexp_replace(dst, '#.*$', '')")} AS dst FROM e0), x AS (SELECT DISTINCT src, dst FROM e JOIN (SELECT DISTINCT key, host FROM n) a ON a.key = src JOIN (SELECT DISTINCT key, host FROM n) b ON b.key = dst WHERE a.host = b.host AND src <> dst),
+d AS (SELECT min(key) AS key, 0 AS depth FROM n WHERE home GROUP BY host UNION SELECT x.dst, depth + 1 FROM d JOIN x ON x.src = d.key WHERE depth < 60), m AS (SELECT key, min(depth) AS depth FROM d GROUP BY key),
+i AS (SELECT dst AS key, count(*) AS c FROM e GROUP BY 1), o AS (SELECT src AS key, count(*) AS c FROM e GROUP BY 1)
+SELECT url, coalesce(i.c, 0) AS inbound_links, coalesce(o.c, 0) AS outbound_links, CAST(coalesce(depth, -1) AS INTEGER) AS click_depth, i.c IS NULL AND NOT home AS is_orphan FROM n LEFT JOIN i USING (key) LEFT JOIN o USING (key) LEFT JOIN m USING (key)""")
 def crawl_graph(spark, sf_dir):
-    return graph.crawl_graph(page_features(table(spark, sf_dir, "pages")).select("url", "links"), _folder(spark))
+    return graph.crawl_graph(page_features(table(spark, sf_dir, "pages")).select("url", "links"), shared_folder(spark))
 
 
 @query()
 def ai_page_scores(spark, sf_dir):
-    rows = ai_rules.rule_scores(page_features(table(spark, sf_dir, "pages")))
-    return ai_rules.overall_scores(ai_rules.category_scores(rows))
+    return ai_rules.page_scores(saved(ai_rules.features(page_features(table(spark, sf_dir, "pages")))))
 
 
 @query()
 def ai_score_issues(spark, sf_dir):
-    return ai_rules.score_issues(ai_rules.rule_scores(page_features(table(spark, sf_dir, "pages"))))
+    return ai_rules.score_issues(ai_rules.rule_scores(saved(ai_rules.features(page_features(table(spark, sf_dir, "pages"))))))
 
 
 @query()
+def legacy_page_scores(spark, sf_dir):
+    """Categories of the older rule pack."""
+    out = legacy_rules.legacy_categories(saved(legacy_rules.legacy_features(page_signals(table(spark, sf_dir, "pages")))), "page_id", "url")
+    return out.select("page_id", "url", *[scores.round2(F.col(c)).alias(c) for c in out.columns[2:]])
+
+
+@query(rf"""WITH p0 AS (SELECT page_id, url, html, {VISIBLE} AS v FROM pages), p AS (SELECT page_id, html, {_stripped("v")} AS body, regexp_extract_all(v, '(?is)<a\b[^>]*>(.*?)</a\s*>', 1) AS a, regexp_extract_all(v, '(?is)<p\b[^>]*>(.*?)</p\s*>', 1) AS ps FROM p0),
+q AS (SELECT page_id, strlen(coalesce(html, '')) AS hb, strlen(body) AS tb, list_transform(a, lambda t: {_stripped("t")}) AS texts, list_filter(list_transform(ps, lambda t: {_stripped("t")}), lambda t: t <> '') AS paras FROM p)
+SELECT page_id, CAST(hb AS INTEGER) AS html_bytes, CAST(tb AS INTEGER) AS text_bytes, CAST(floor(tb * 100 / hb * 100 + 0.5) / 100 AS DOUBLE) AS html_ratio, CAST(len(texts) AS INTEGER) AS n_anchors, CAST(len(paras) AS INTEGER) AS n_paragraphs,
+CAST(floor(coalesce(len(list_filter(texts, lambda t: length(t) < 3 OR regexp_matches(lower(t), 'click here|read more|learn more|here|more|link|page|website|site|url|download'))) * 100 / nullif(len(texts), 0), 0) * 100 + 0.5) / 100 AS DOUBLE) AS generic_anchor_ratio,
+len(list_filter(texts, lambda t: t <> '')) >= 5 AND len(list_distinct(list_transform(list_filter(texts, lambda t: t <> ''), lambda t: lower(t)))) * 2 < len(list_filter(texts, lambda t: t <> '')) AS anchor_diversity_issue, false AS mixed_content, false AS iframe_wrapped FROM q""")
+def page_signal_values(spark, sf_dir):
+    out = page_signals(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "html_bytes", "text_bytes", scores.round2(F.col("html_ratio")).alias("html_ratio"), F.size("anchors").alias("n_anchors"), F.size("paragraphs").alias("n_paragraphs"),
+                      scores.round2(F.col("generic_anchor_ratio")).alias("generic_anchor_ratio"), "anchor_diversity_issue", "mixed_content", "iframe_wrapped")
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, {VISIBLE} AS v FROM pages)
+SELECT page_id, url, {_stripped("regexp_extract(v, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, regexp_extract(v, '(?i)<html[^>]*\slang="([^"]*)"', 1) AS html_lang, '' AS canonical,
+CAST(len(regexp_extract_all(v, '(?i)<a\s[^>]*href=')) AS INTEGER) AS n_links, CAST(len(regexp_extract_all(v, '(?is)<h[1-6]\b')) AS INTEGER) AS n_headings, CAST(len(list_filter(string_split({_stripped("v")}, ' '), lambda w: w <> '')) AS INTEGER) AS word_count FROM p""")
 def html_features(spark, sf_dir):
     """Page features by the parser."""
     return parse_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "title", "html_lang", "canonical", F.size("links").alias("n_links"), F.size("headings").alias("n_headings"), "word_count")

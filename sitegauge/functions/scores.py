@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body reads it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

@@ -10,6 +10,7 @@ INTENTS = (("transactional", "buy|price|cheap|deal|discount|order|purchase|shop"
 KEYWORD_INTENTS = (("commercial", "buy|price|cost|cheap|best|review|deal|discount"), ("navigational", "login|website|official|contact|near me"))
 QUESTION = r"(?i)^\s*(what|how|why|when|where|who|which|can|does|do|is|are|should)\b"
 POWER_WORDS = "free|easy|quick|best|top|proven|guaranteed|exclusive|limited|save|new|ultimate"
+BUTTONS = "submit|send|click here|continue|next|previous|back"
 CALL_WORDS = "get|try|buy|order|download|sign up|register|learn|discover|explore|start"
 
 
@@ -44,10 +45,10 @@ def flesch(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """White space collapsed, e-mail addresses and phone numbers masked."""
-    out = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
-    out = F.regexp_replace(out, r"\+?[0-9][0-9() -]{8,}[0-9]", "[PHONE]")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """White space collapsed, words of buttons dropped, phone numbers and e-mail addresses masked."""
+    out = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), f"(?i){BUTTONS}", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "[PHONE]"), r"\b\+?1?[-.]?\(?\d{3}\)?[-.]?\d{3}[-.]?\d{4}\b", "[PHONE]")
+    return F.trim(F.regexp_replace(out, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL]"))
 
 
 def intent(text: Column) -> Column:

@@ -91,10 +91,47 @@ def is_homepage(url: Column) -> Column:
     return F.regexp_replace(path(url), "/+$", "") == ""
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its . and .. steps taken; .. above the root is dropped."""
+    steps = F.split(F.regexp_replace(path, "^/", ""), "/")
+    none = F.array().cast("array<string>")
+    folded = F.aggregate(steps, none, lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
+    tail = F.when(path.rlike(r"/\.\.?$") & (F.size(folded) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(folded, "/"), tail)).otherwise(path)
+
+
 def resolve_link(base: Column, href: Column) -> Column:
-    """An absolute URL for a link found on a page; '..' and '.' steps are left as they are."""
+    """An absolute URL for a link found on a page."""
     scheme = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
     root = F.concat(scheme, F.lit("//"), F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     folder = F.regexp_replace(path(base), "[^/]*$", "")
-    return (F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href))
-            .when(href.startswith("?"), F.concat(root, path(base), href)).otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), href)))
+    own, tail = F.regexp_extract(href, "^([^?#]*)", 1), F.regexp_extract(href, "^[^?#]*(.*)$", 1)
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
+    return (F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href))
+            .when(own == "", F.concat(root, path(base), tail)).otherwise(F.concat(root, without_dots(joined), tail)))
+
+
+def bare_url(url: Column) -> Column:
+    """Lower case, no www., no query or fragment, no closing slash; the scheme stays."""
+    low = F.lower(F.trim(url))
+    return F.concat(F.regexp_extract(low, "^([a-z][a-z0-9+.-]*://)", 1), registrable_domain(low), F.regexp_replace(path(low), "/+$", ""))
+
+
+def link_target(base: Column, href: Column) -> Column:
+    """A link's absolute URL, decoded, host in lower case, without query and closing slash."""
+    plain = F.trim(F.coalesce(F.try_url_decode(F.regexp_replace(href, r"\+", "%2B")), href))
+    whole = resolve_link(base, plain)
+    return F.concat(F.lower(F.regexp_extract(whole, "^([A-Za-z][A-Za-z0-9+.-]*://)", 1)), host(whole), F.regexp_replace(path(whole), "/+$", ""))
+
+
+def sitemap_url(url: Column) -> Column:
+    """With a scheme (https if there was none), without fragment and closing slash; the query stays."""
+    whole = F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), url).otherwise(F.concat(F.lit("https://"), url))
+    q = query(whole)
+    kept = F.concat(F.regexp_extract(whole, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), path(whole), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+    return F.when(path(whole) == "/", kept).otherwise(F.regexp_replace(kept, "/+$", ""))
+
+
+def plain_domain(text: Column) -> Column:
+    """What a person types as a domain: no scheme, www., path, port or white space, in lower case."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "^[a-z]+://", ""), r"^www\.", ""), "[/?#:].*$", "")

@@ -116,10 +116,39 @@ def rules() -> dict[str, tuple[str, Column]]:
 REQUIRED = ("primary_organization_schema", "schema_valid_jsonld")
 
 
+def page_scores(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+    """-> keep, a column for each category and final_score, in one projection; no row moves.  pages: the result of features(), best written once."""
+    groups: dict[str, list[Column]] = {}
+    for category, score in rules().values():
+        groups.setdefault(category, []).append(clamp(F.coalesce(score, F.lit(0.0)), 0.0, 10.0) * 10)
+    means = {n: clamp(sum(cs, F.lit(0.0)) / len(cs)) for n, cs in sorted(groups.items())}
+    out = pages.select(*keep, *[m.alias(n) for n, m in means.items()])
+    return out.withColumn("final_score", clamp(sum((F.col(n) * WEIGHTS[n] for n in sorted(WEIGHTS)), F.lit(0.0)) / 100))
+
+
+def check_rules(weights: dict[str, float] | None = None) -> dict[str, int]:
+    """Rules for each category; raises where weights don't sum to 100 or a rule's category has none."""
+    weights = weights or WEIGHTS
+    if abs(sum(weights.values()) - 100) > 0.001:
+        raise ValueError(f"weights sum to {sum(weights.values())}, not 100")
+    counts: dict[str, int] = {}
+    for name, (category, _) in rules().items():
+        if category not in weights:
+            raise ValueError(f"rule {name} has category {category}, which has no weight")
+        counts[category] = counts.get(category, 0) + 1
+    return counts
+
+
+def checked_scores(scores: DataFrame, *names: str) -> DataFrame:
+    """The rows themselves; reading them fails where a score is null or outside 0 to 100."""
+    good = lambda n: F.assert_true(F.coalesce(F.col(n).between(0, 100), F.lit(False)), f"{n} must be from 0 to 100").isNull()
+    return scores.withColumns({n: F.when(good(n), F.col(n)) for n in names})
+
+
 def rule_scores(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """-> keep, rule_id, category, score (0 to 100); a row for each page and rule."""
+    """-> keep, rule_id, category, score (0 to 100); a row for each page and rule.  pages: the result of features()."""
     rows = F.array(*[F.struct(F.lit(k).alias("rule_id"), F.lit(category).alias("category"), (clamp(F.coalesce(score, F.lit(0.0)), 0.0, 10.0) * 10).alias("score")) for k, (category, score) in rules().items()])
-    return features(pages).select(*keep, F.explode(rows).alias("r")).select(*keep, "r.*")
+    return pages.select(*keep, F.explode(rows).alias("r")).select(*keep, "r.*")
 
 
 def category_scores(scores: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

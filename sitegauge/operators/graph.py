@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.functions.urls import SKIPPED_LINKS, is_homepage, lookup_key, resolve_link
+from sitegauge.functions.urls import SKIPPED_LINKS, host, is_homepage, lookup_key, resolve_link
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -45,16 +45,21 @@ def click_depths(nodes: DataFrame, links: DataFrame, root: DataFrame, folder: st
     return seen
 
 
-def crawl_graph(pages: DataFrame, folder: str) -> DataFrame:
+def crawl_graph(pages: DataFrame, folder: str, project: Column | None = None) -> DataFrame:
     """-> url, inbound_links, outbound_links, click_depth (-1: unreachable), is_orphan.
 
-    Inbound counts links of crawled pages only; the homepage is the least url with an empty path."""
-    nodes = pages.select("url", lookup_key(F.col("url")).alias("key"))
+    Pages belong to projects, by default their hosts.  Inbound counts links of
+    crawled pages only; each project's homepage is its least key with an empty
+    path, and clicks stay inside the project."""
+    of = host(F.col("url")) if project is None else project
+    nodes = pages.select("url", lookup_key(F.col("url")).alias("key"), of.alias("project"))
     links = edges(pages).select(lookup_key(F.col("src")).alias("src"), lookup_key(F.col("dst")).alias("dst"))
     inbound = links.groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("inbound_links"))
     outbound = links.groupBy(F.col("src").alias("key")).agg(F.count("*").alias("outbound_links"))
-    root = nodes.filter(is_homepage(F.col("url"))).agg(F.min("key").alias("key")).filter("key is not null")
-    depth = click_depths(nodes, links, root, folder)
+    root = nodes.filter(is_homepage(F.col("url"))).groupBy("project").agg(F.min("key").alias("key")).select("key")
+    known = nodes.select("key", "project").distinct()
+    inside = links.distinct().join(known.select(F.col("key").alias("src"), F.col("project").alias("_a")), "src").join(known.select(F.col("key").alias("dst"), F.col("project").alias("_b")), "dst").filter("_a = _b").select("src", "dst")
+    depth = click_depths(nodes.select("key"), inside, root, folder)
     return nodes.join(inbound, "key", "left").join(outbound, "key", "left").join(depth, "key", "left").select(
         "url", F.coalesce("inbound_links", F.lit(0)).alias("inbound_links"), F.coalesce("outbound_links", F.lit(0)).alias("outbound_links"),
         F.coalesce("click_depth", F.lit(-1)).alias("click_depth"), (F.col("inbound_links").isNull() & ~is_homepage(F.col("url"))).alias("is_orphan"))
@@ -62,3 +67,8 @@ def crawl_graph(pages: DataFrame, folder: str) -> DataFrame:
 
 def graph_summary(graph: DataFrame) -> DataFrame:
     return graph.agg(F.count("*").alias("total_pages"), F.count_if("is_orphan").alias("orphan_pages"), F.max("click_depth").alias("max_depth"), F.count_if(F.col("click_depth") < 0).alias("unreachable_pages"))
+
+
+def cross_link_strength(n_nodes: Column, n_edges: Column) -> Column:
+    """Edges as a share of the pairs of nodes, at most 1; 0 for fewer than two nodes."""
+    return F.when(n_nodes > 1, F.least(n_edges * 2.0 / (n_nodes * (n_nodes - 1)), F.lit(1.0))).otherwise(0.0)

@@ -10,19 +10,24 @@ from sitegauge.functions.text import content_hash
 from sitegauge.operators.graph import crawl_graph
 from sitegauge.operators.rules import Rule, content_rules, evaluate, judge, site_rules
 from sitegauge.sources.html import page_features
+from sitegauge.sources.scratch import saved
+from sitegauge.sources.signals import page_signals
 
 
 def page_issues(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    return evaluate(page_features(pages), rules or content_rules())
+    """Issues that a page shows by itself.  Features are written once, so that no rule computes them again."""
+    return evaluate(saved(page_features(pages)), rules or content_rules())
 
 
 def full_analysis(pages: DataFrame, folder: str) -> DataFrame:
-    """Issues of the whole catalog, with inbound links, click depth and copies joined on."""
-    features = page_features(pages)
-    graph = crawl_graph(features, folder).select("url", "inbound_links", "click_depth")
-    copies = features.withColumn("_h", content_hash(F.col("title"), F.lit(""), F.col("text"))).groupBy("_h").agg(F.count("*").alias("copies"))
-    joined = features.withColumn("_h", content_hash(F.col("title"), F.lit(""), F.col("text"))).join(copies, "_h").drop("_h").join(graph.dropDuplicates(["url"]), "url", "left")
-    return evaluate(joined, content_rules() + site_rules())
+    """Issues of the whole catalog, with inbound links, click depth and copies joined on.
+
+    Copies are joined only where there are any, from a written table, so that
+    pages that all share one content (blank ones) can be split over tasks."""
+    features = saved(page_signals(pages).withColumn("_h", content_hash(F.col("title"), F.lit(""), F.col("text"))), folder)
+    graph = saved(crawl_graph(features, folder).groupBy("url").agg(F.max("inbound_links").alias("inbound_links"), F.max("click_depth").alias("click_depth")), folder)
+    copies = saved(features.groupBy("_h").agg(F.count("*").alias("copies")).filter("copies > 1"), folder)
+    return evaluate(features.join(copies, "_h", "left").drop("_h").join(graph, "url", "left"), content_rules() + site_rules())
 
 
 def scored_pages(pages: DataFrame, issues: DataFrame, score_cap: float = 100.0) -> DataFrame:

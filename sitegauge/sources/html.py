@@ -42,6 +42,11 @@ def _all(html: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
 
 
+def _first(*values: Column) -> Column:
+    """The first that is not empty; '' if all are."""
+    return F.coalesce(*[F.when(v != "", v) for v in values], F.lit(""))
+
+
 def page_features(pages: DataFrame, html: str = "html") -> DataFrame:
     h = F.coalesce(F.col(html), F.lit(""))
     bare, visible = F.col("_bare"), F.col("_visible")
@@ -53,7 +58,7 @@ def page_features(pages: DataFrame, html: str = "html") -> DataFrame:
         "jsonld": F.transform(_all(bare, r"""(?is)<script\b[^>]*application/ld\+json[^>]*>.*?</script\s*>"""), lambda s: F.trim(F.regexp_replace(s, r"(?is)^<script\b[^>]*>|</script\s*>$", ""))),
         "text": strip_tags(visible),
     })
-    pair = F.transform("_meta", lambda m: F.struct(F.lower(F.trim(F.concat(attribute(m, "name"), F.when(attribute(m, "name") == "", attribute(m, "property")).otherwise("")))).alias("k"), attribute(m, "content").alias("v")))
+    pair = F.transform("_meta", lambda m: F.struct(F.lower(F.trim(_first(*[attribute(m, a) for a in ("name", "property", "http-equiv")]))).alias("k"), attribute(m, "content").alias("v")))
     out = out.withColumn("_pair", F.filter(pair, lambda p: p["k"] != ""))
     keys = F.array_distinct(F.transform("_pair", lambda p: p["k"]))
     return out.withColumns({
@@ -84,7 +89,7 @@ class _Page(HTMLParser):
         elif tag == "html":
             self.out["html_lang"] = a.get("lang", "")
         elif tag == "meta":
-            key = (a.get("name") or a.get("property") or "").strip().lower()
+            key = (a.get("name") or a.get("property") or a.get("http-equiv") or "").strip().lower()
             if key:
                 self.out["metas"].setdefault(key, []).append(a.get("content", ""))
         elif tag == "link" and a.get("rel", "").lower() == "canonical":

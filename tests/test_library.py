@@ -92,7 +92,7 @@ def test_entities(page):
 
 
 def test_ai_scores(page):
-    got = {r["rule_id"]: r["score"] for r in ai_rules.rule_scores(page_features(page)).filter("page_id = 1").collect()}
+    got = {r["rule_id"]: r["score"] for r in ai_rules.rule_scores(ai_rules.features(page_features(page))).filter("page_id = 1").collect()}
     assert set(got) == set(ai_rules.rules())
     assert got["primary_organization_schema"] == 100.0 and got["sameas_array_links_active"] == 100.0 and got["event_schema"] == 0.0
 
