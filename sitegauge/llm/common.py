@@ -98,10 +98,11 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int) -> DataFrame:
-    """At most bound labelled training rows (doc_id, text, label), chosen by hash of the id.
+    """At most bound labelled training rows (doc_id, text, label), chosen by hash of the id; one row for each id.
 
     Rows with a null id, text or label are no training rows; of several labels
-    for one id the largest counts.  The ids chosen (bound of them) are broadcast."""
+    for one id the largest counts, of several texts that of the least hash.  The
+    ids chosen (bound of them) are broadcast."""
     ids = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
         .filter(F.col("_id").isNotNull() & F.col("_y").isNotNull())
@@ -109,8 +110,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         .groupBy("_id").agg(F.max("_y").alias("_y"))
         .orderBy(F.xxhash64("_id"), "_id").limit(bound)
     )
-    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(
-        F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_y").alias("label"))
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("_y").alias("label"))
 
 
 def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -149,7 +150,8 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
 
     edges: (a, b), longs.  -> (node, root), root the smallest id of the
     component, one row for each node that is not itself the root.  Each step is
-    a minimum per node and a join back; AQE splits the joins of hot nodes."""
+    a minimum per node, with partial sums, and a join back; the edges of one
+    node, two longs each, meet in one task of that join."""
     e = scratch.save(edges.filter("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}0")
     state, step = _digest(e), 0

@@ -25,7 +25,8 @@ other than white space and ASCII punctuation, A-Z and U+00C0-U+00DE lower-cased)
 
 Results: one row per document id and item that leaked into it (doc_id, item_id,
 share, at_word of the best window); clean, null and empty texts give none, nor
-do null or wordless items.  Rows that repeat an id are taken together.
+do null or wordless items.  Rows that repeat an id are taken together; of windows
+with equal shares the first is named.  Texts are read whole, however long.
 keep_clean gives the documents, all columns, without those that match; a
 document with a null id is judged by its text alone.
 """

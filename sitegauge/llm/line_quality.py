@@ -6,14 +6,17 @@ docstats.LINE_FEATURES; Viterbi decoding gives the best sequence of a text, and
 the text is kept if content lines hold at least CONTENT_SHARE of its words and
 the base rules pass.
 
-There are no labelled lines, so the field is fitted on at most SAMPLE labelled
-documents, from their quality: first all lines of a bad document count as
-boilerplate, then twice only those that the field itself marks (its most
-suspect line at least).  All documents are judged whole.
+There are no labelled lines, so the field is fitted from document quality: first
+all lines of a bad document count as boilerplate, then twice only those that the
+field itself marks (its most suspect line at least).  The sample is bounded:
+SAMPLE labelled documents by hash of the id, their lines in pieces of PIECE, and
+of the pieces PIECES by hash of id and number.  All documents are judged whole.
 
 Results: one row per document row.  Null, empty and blank texts have counts 0,
-base_failed true and kept false.  A null id is passed through.  Other columns
-of the input are ignored.  Without both label values no line is boilerplate.
+base_failed true and kept false.  A null id is passed through.  Of two label
+sequences that score alike the one that starts with content wins.  Repeated rows
+repeat results; texts are read whole.  Other columns of the input are ignored.
+Without both label values no line is boilerplate.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from .common import arrow_rows, labelled_sample, small_batches
 from .docstats import LINE_FEATURES, SYMBOL, Lines, Words, counts, duplicate_lines, line_features, repeated_words
 from .words import SPACE, text_buffer
 
-SAMPLE, LINES, CONTENT_SHARE = 1500, 40_000, 0.5
+SAMPLE, PIECE, PIECES, CONTENT_SHARE = 1500, 256, 3000, 0.5
 MIN_WORDS, WINDOW, MAX_REPEAT = 20, 8, 30
 
 
@@ -109,29 +112,34 @@ def _lines(data, offsets):
 def fit_field(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> LineField:
     field = LineField(np.zeros(len(LINE_FEATURES)), np.zeros((2, 2)))
     field.emit[0] = -1.0
-    schema = pa.schema([("label", pa.int32()), ("x", pa.list_(pa.float64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("label", pa.int32()), ("x", pa.binary())])
 
     def features(batches):
         for batch in batches:
             *_, x, bounds = _lines(*text_buffer(batch.column("text")))
-            yield arrow_rows(schema, label=batch.column("label"), x=[x[a:b].ravel() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-
-    sample = labelled_sample(docs, labels, "quality", F.lit(True), bound).mapInArrow(features, "label int, x array<double>")
-    sample = sample.filter(F.size("x") <= LINES).toPandas()  # bounded: SAMPLE documents' line features
-    if sample["label"].nunique() < 2:
+            cuts = [(i, k, x[at : min(at + PIECE, hi)].astype(np.float32)) for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) for k, at in enumerate(range(lo, hi, PIECE))]
+            row = pa.array([c[0] for c in cuts], pa.int64())
+            yield arrow_rows(schema, doc_id=batch.column("doc_id").take(row), piece=[c[1] for c in cuts], label=batch.column("label").take(row), x=[c[2].tobytes() for c in cuts])
+
+    sample = labelled_sample(docs, labels, "quality", F.lit(True), bound).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    sample = sample.mapInArrow(features, "doc_id long, piece int, label int, x binary").orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece").limit(PIECES).collect()
+    sample.sort(key=lambda r: (r["doc_id"], r["piece"]))
+    if len({r["label"] for r in sample}) < 2:
         return field
-    xs = [np.asarray(v).reshape(-1, len(LINE_FEATURES)) for v in sample["x"]]
-    keep = [i for i, v in enumerate(xs) if 0 < len(v) <= 400]
-    xs, bad = [xs[i] for i in keep], sample["label"].to_numpy()[keep] == 0
+    xs = [np.frombuffer(r["x"], np.float32).reshape(-1, len(LINE_FEATURES)).astype(float) for r in sample]
     bounds = np.concatenate([[0], np.cumsum([len(v) for v in xs])])
-    x, owner = np.concatenate(xs), np.repeat(np.arange(len(xs)), np.diff(bounds))
-    y = bad[owner].astype(int)
+    doc = np.unique([r["doc_id"] for r in sample], return_inverse=True)[1]
+    x, piece = np.concatenate(xs), np.repeat(np.arange(len(xs)), np.diff(bounds))
+    bad = np.array([r["label"] == 0 for r in sample])[piece]
+    owner = doc[piece]
+    y = bad.astype(int)
     for _ in range(3):
         field.fit(x, y, bounds)
-        score, y = x @ field.emit, field.decode(x, bounds).astype(int) * bad[owner]
-        for i in np.flatnonzero(bad):
-            if not y[bounds[i] : bounds[i + 1]].any():
-                y[bounds[i] + np.argmax(score[bounds[i] : bounds[i + 1]])] = 1
+        score, y = x @ field.emit, field.decode(x, bounds).astype(int) * bad
+        marked = np.bincount(owner, y) > 0
+        order = np.lexsort((-score, owner))
+        top = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]  # the most suspect line of each document
+        y[top[bad[top] & ~marked[owner[top]]]] = 1
     return field
 
 

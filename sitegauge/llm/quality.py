@@ -4,12 +4,15 @@ Statistics of a whole text (docstats.STATISTICS) are standardised and mapped to
 FEATURES cosines whose inner products approximate a Gaussian kernel.  Each
 partition of the labelled sample sums Z'Z and Z'y; Spark adds the sums, and the
 driver solves one FEATURES x FEATURES ridge system.  Pool-adjacent-violators on
-the sample's scores gives the calibration, interpolated between blocks.
+the scores of the rows that the ridge fit left out (one in four, by hash of the
+id; all rows if those lack a class) gives the calibration, interpolated between blocks.
 
 Fitted on at most SAMPLE labelled rows; every document is scored.  Results: one
 row per document row; null and empty texts score like a text without bytes; a
 null id counts as not held out.  Without two classes in the sample every score
-is 0.5.  Other columns of the input are ignored.
+is 0.5, and a score of exactly 0.5 counts as good.  Equal texts score alike,
+however often they stand; texts are read whole, however long.  Other columns of
+the input, whatever their names, are ignored, or kept by keep_quality.
 """
 
 from __future__ import annotations
@@ -61,9 +64,9 @@ class QualityModel:
 
 
 def _statistics(batches):
-    schema = pa.schema([("label", pa.float64()), ("x", pa.list_(pa.float64()))])
+    schema = pa.schema([("label", pa.float64()), ("back", pa.bool_()), ("x", pa.list_(pa.float64()))])
     for batch in batches:
-        yield arrow_rows(schema, label=batch.column("label").cast(pa.float64()), x=list(statistics(*text_buffer(batch.column("text")))))
+        yield arrow_rows(schema, label=batch.column("label").cast(pa.float64()), back=batch.column("back"), x=list(statistics(*text_buffer(batch.column("text")))))
 
 
 def _sums(batches, model: QualityModel):
@@ -81,7 +84,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, bound: int =
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark)
-    sample = scratch.save(labelled_sample(docs, labels, "quality", train, bound).mapInArrow(_statistics, "label double, x array<double>"), "sample")
+    chosen = labelled_sample(docs, labels, "quality", train, bound).withColumn("back", F.pmod(F.xxhash64("doc_id", F.lit("back")), F.lit(4)) == 0)
+    sample = scratch.save(chosen.mapInArrow(_statistics, "label double, back boolean, x array<double>"), "sample")
     d = len(STATISTICS)
     got = sample.select(F.posexplode("x").alias("i", "v"), "label").groupBy("i").agg(
         F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.avg("label").alias("y")).collect()
@@ -91,14 +95,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, bound: int =
         return model
     for r in got:
         model.centre[r["i"]], model.scale[r["i"]] = r["m"], max(r["s"], 1e-3)
-    sums = sample.mapInArrow(partial(_sums, model=model), "i int, v array<double>").select(
-        "i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    if sample.filter("back").select("label").distinct().count() == 2 and sample.filter("not back").select("label").distinct().count() == 2:
+        fitted, held_back = sample.filter("not back"), sample.filter("back")
+    else:
+        fitted = held_back = sample
+    sums = fitted.select("label", "x").mapInArrow(partial(_sums, model=model), "i int, v array<double>").select(
+        "i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v")))["v"].alias("v")).collect()
     total = np.zeros((FEATURES + 2, FEATURES + 2))
-    total[sums["i"], sums["j"]] = sums["v"]
+    for r in sums:
+        total[r["i"]] = r["v"]
     gram, right = total[:-1, :-1], total[:-1, -1]
     model.beta = np.linalg.solve(gram + RIDGE * gram[0, 0] / FEATURES * np.eye(FEATURES + 1), right)
-    own = sample.select("label", "x").toPandas()  # at most bound rows of statistics
-    model.knots = isotonic(model.features(np.array(own["x"].tolist())) @ model.beta, own["label"].to_numpy())
+    own = held_back.select("label", "x").collect()  # at most bound rows of statistics
+    scratch.drop("sample")
+    model.knots = isotonic(model.features(np.array([r["x"] for r in own])) @ model.beta, np.array([r["label"] for r in own]))
     return model
 
 

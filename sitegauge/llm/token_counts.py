@@ -10,6 +10,8 @@ pieces is found in time linear in its bytes without building the pieces.
 
 Results: doc_id, n_words, n_tokens, one row per document row.  Null, empty and
 blank texts have 0 of both.  Every byte is a piece, so no word lacks a length.
+A null id is passed through; repeated rows repeat results; texts are read whole,
+however long.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -8,13 +8,16 @@ characters, 3 to 8 bytes).  Two GRUs read each window of WINDOW
 words forwards and backwards, attention pools their states, and a text's score
 is that of its highest window; windows overlap by half and cover every word.
 
-Trained in numpy by back-propagation through the highest window of each text,
-on at most SAMPLE labelled texts of at most LONGEST characters; log-odds in
-training leave the text's own count out.  All documents are scored whole.
+Trained in numpy by back-propagation through the highest window of each text.
+The sample is bounded: SAMPLE labelled texts by hash of the id, in pieces of
+LONGEST characters that keep their text's number, and of the pieces PIECES by
+hash of id and place.  Log-odds in training leave the text's own count out.  All
+documents are scored whole.
 
 Results: one row per document row.  Null, empty and wordless texts score 0.  A
 null id counts as not held out.  Without both labels in the sample every score
-is 0.  Other columns of the input are ignored.
+is 0.  A score of exactly 0.5 counts as toxic.  Equal texts score alike.  Other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, fold, labelled_sample, small_batches
 from .words import BLANK, LOWER, mix, split_words, text_buffer
 
-SAMPLE, LONGEST = 5000, 20_000
+SAMPLE, LONGEST, PIECES = 5000, 4000, 8000
 WINDOW, HIDDEN, EMBED, WORD_SLOTS, GRAM_SLOTS = 16, 8, 4, 1 << 12, 1 << 11
 ROUNDS, STEPS, RATE = 6, 15, 0.02
 OPENINGS, RARE = range(3, 9), 4
@@ -194,9 +197,11 @@ class ToxicityNet:
         np.add.at(g["gram"], v.gram, (d_x[:-1, 2 + EMBED :] / v.grams[:, None])[v.gram_word])
         return g
 
-    def fit(self, texts: list[str], label: np.ndarray) -> None:
-        v = Vocabulary(pa.array(texts, pa.large_string()))
+    def fit(self, pieces: list[str], owner: np.ndarray, label: np.ndarray) -> None:
+        """pieces of texts, the number of each one's text, and the texts' labels."""
+        v = Vocabulary(pa.array(pieces, pa.large_string()))
         label = np.asarray(label, np.float32)
+        n_texts, own_text = len(label), np.asarray(owner)
         t, c = max(label.sum(), 1), max((1 - label).sum(), 1)
 
         def odds(toxic, clean):
@@ -205,11 +210,11 @@ class ToxicityNet:
 
         def table(number, n):
             """Toxic and clean texts of each of n keys, from (key, text) pairs."""
-            pair = np.unique(number.astype(np.int64) * v.n_texts + self._texts)
-            toxic = np.bincount(pair // v.n_texts, weights=label[pair % v.n_texts], minlength=n)
-            return toxic, np.bincount(pair // v.n_texts, minlength=n) - toxic
+            pair = np.unique(number.astype(np.int64) * n_texts + texts)
+            toxic = np.bincount(pair // n_texts, weights=label[pair % n_texts], minlength=n)
+            return toxic, np.bincount(pair // n_texts, minlength=n) - toxic
 
-        self._texts = v.text
+        texts = own_text[v.text]
         w = table(v.number, len(v.hashes))
         self.word_odds = self._frequent(v.hashes, odds(*w), w[0] + w[1])
         # words of clean texts leave one clean text out, words of toxic texts one toxic text
@@ -230,8 +235,8 @@ class ToxicityNet:
         keys, values = np.concatenate(keys), np.concatenate(values)
         order = np.argsort(keys)
         self.opening_odds = keys[order], values[order]
-        del self._texts
         rows, text = v.rows()
+        text = own_text[text]
         pad = len(v.hashes)
         weight = np.where(label == 1, 0.3 / t, 0.7 / c).astype(np.float32) * len(label)
         first = {k: np.zeros_like(w) for k, w in self.p.items()}
@@ -299,12 +304,16 @@ def _score(batches, net: ToxicityNet):
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """-> doc_id, held_out, score, predicted, for every document."""
     small_batches(docs.sparkSession, 512, "2m")
-    short = docs.filter(F.length("text") <= LONGEST)
-    sample = labelled_sample(short, labels, "toxic", fold(F.col("_id"), folds) != held, SAMPLE).toPandas()
+    sample = labelled_sample(docs, labels, "toxic", fold(F.col("_id"), folds) != held, SAMPLE)
+    at = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / LONGEST) - 1, F.lit(0)).cast("int"))
+    pieces = sample.select("doc_id", "label", F.posexplode(F.transform(at, lambda i: F.substr("text", i * LONGEST + 1, F.lit(LONGEST)))).alias("place", "piece"))
+    pieces = pieces.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(PIECES).collect()
+    pieces.sort(key=lambda r: (r["doc_id"], r["place"]))
+    label = {r["doc_id"]: r["label"] for r in pieces}
+    number = {k: i for i, k in enumerate(label)}
     net = ToxicityNet()
-    if sample["label"].nunique() == 2:
-        sample = sample.sort_values("doc_id")
-        net.fit(sample["text"].tolist(), sample["label"].to_numpy())
+    if len(set(label.values())) == 2:
+        net.fit([r["piece"] for r in pieces], np.array([number[r["doc_id"]] for r in pieces]), np.array(list(label.values())))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_score, net=net), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
