@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.text import keyword_intent
@@ -12,23 +12,27 @@ ITEM = "struct<keyword: string, keyword_data: struct<keyword: string, keyword_in
 RESPONSE = f"struct<tasks: array<struct<status_code: int, result: array<struct<items: array<{ITEM}>>>>>>"
 
 
-def keyword_records(responses: DataFrame, body: str = "body") -> DataFrame:
+def keyword_records(responses: DataFrame, body: str = "body", order: str | None = None) -> DataFrame:
     """-> keyword, search_volume, competition, cpc, intent: one row for each keyword, whatever its case; the first counts.
 
-    Three layouts of an item are read; tasks that failed give none."""
+    Three layouts of an item are read; tasks that failed give none.  order names the
+    column by which responses follow one another (the body itself without one)."""
     tasks = F.filter(F.from_json(F.col(body), RESPONSE)["tasks"], lambda t: t["status_code"] == 20000)
     items = F.flatten(F.flatten(F.transform(tasks, lambda t: F.transform(t["result"], lambda r: F.coalesce(r["items"], F.array().cast(f"array<{ITEM}>"))))))
-    rows = responses.select(F.posexplode(items).alias("pos", "i"))
+    rows = responses.select(F.col(order or body).alias("at"), F.posexplode(items).alias("pos", "i"))
     inner, own = F.col("i.keyword_data.keyword_info"), F.col("i.keyword_info")
     pick = lambda n, default: F.coalesce(F.col(f"i.{n}"), own[n], inner[n], default)
-    rows = rows.select("pos", F.trim(F.coalesce("i.keyword", "i.keyword_data.keyword")).alias("keyword"), pick("search_volume", F.lit(0)).alias("search_volume"),
+    rows = rows.select("at", "pos", F.trim(F.coalesce("i.keyword", "i.keyword_data.keyword")).alias("keyword"), pick("search_volume", F.lit(0)).alias("search_volume"),
                        pick("competition", F.lit(0.0)).alias("competition"), pick("cpc", F.lit(0.0)).alias("cpc")).filter("keyword <> ''")
-    w = Window.partitionBy(F.lower("keyword")).orderBy("pos", "keyword")
-    return rows.withColumn("n", F.row_number().over(w)).filter("n = 1").select("keyword", "search_volume", "competition", "cpc", keyword_intent(F.col("keyword")).alias("intent"))
+    first = F.min_by(F.struct("keyword", "search_volume", "competition", "cpc"), F.struct("at", "pos", "keyword")).alias("r")
+    rows = rows.groupBy(F.lower("keyword").alias("_low")).agg(first).select("r.*")
+    return rows.select("keyword", "search_volume", "competition", "cpc", keyword_intent(F.col("keyword")).alias("intent"))
 
 
 def top_keywords(records: DataFrame, n: int = 5) -> DataFrame:
-    return records.orderBy(F.desc("search_volume"), "keyword").limit(n)
+    """The n keywords of most searches, each once whatever its case; of equals the first by name."""
+    best = records.groupBy(F.lower("keyword").alias("_low")).agg(F.max_by(F.struct("keyword", "search_volume"), F.struct("search_volume", "keyword")).alias("r")).select("r.*")
+    return best.orderBy(F.desc("search_volume"), "keyword").limit(n)
 
 
 def domain_matches(found: Column, target: Column) -> Column:

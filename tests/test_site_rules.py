@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.functions import intents, readability, urls
-from sitegauge.operators import entity_audit, graph, legacy_rules, links, rules, tables
+from sitegauge.operators import entity_audit, extracts, graph, legacy_rules, links, rules, tables
 from sitegauge.plans.page_analysis import full_analysis
 from sitegauge.sources.scratch import shared_folder
 from sitegauge.sources.signals import page_guard, page_signals
@@ -111,3 +111,22 @@ def test_keyed_tables(spark, tmp_path):
     tables.append(rows, f"{tmp_path}/t")
     tables.append(rows, f"{tmp_path}/t")
     assert spark.read.parquet(f"{tmp_path}/t").count() == 6
+
+
+def test_extracts(spark):
+    long = "word " * 90
+    html = f"""<html><head><link rel="stylesheet" href="a.css"><link rel="stylesheet" media="print" href="b.css"><script src="x.js"></script><script async src="y.js"></script></head><body><nav>menu</nav>
+<h2>How it works: steps</h2><p>{long}</p><h3>About</h3><p>short</p><div itemscope itemtype="https://schema.org/Product"></div><span class="author-name">Jo</span><time datetime="2024-05-01">May</time></body></html>"""
+    crumbs = json.dumps({"@type": "BreadcrumbList", "itemListElement": [{"position": 1, "name": "Home", "item": "/"}, {"position": 3, "name": "A"}, {"position": 2, "name": "B"}]})
+    asked = json.dumps({"@type": "FAQPage", "mainEntity": [{"@type": "Question", "name": "What is a spade?"}, {"@type": "Question", "name": "How long do rakes last in the garden?"}]})
+    row = spark.createDataFrame([(html, [crumbs, asked], ["What is a spade?", "How long do rakes last in a garden?", "Why?"])], "html string, jsonld array<string>, shown array<string>")
+    h, j = F.col("html"), F.col("jsonld")
+    got = row.select(extracts.sections(h).alias("s"), extracts.breadcrumbs(j).alias("b"), extracts.matched_questions(extracts.schema_questions(j), F.col("shown")).alias("q"), extracts.render_blocking(h).alias("r"),
+                     extracts.formats(h, j).alias("f"), extracts.author_signals(h).alias("a"), extracts.updated_dates(h, F.lit("updated on 3/4/2024")).alias("u"), extracts.main_content(h).alias("m")).first()
+    assert [(s["kind"], s["level"], s["n_words"]) for s in got["s"]] == [("step_section", 2, 90)]
+    assert got["b"]["names"] == ["Home", "A", "B"] and not got["b"]["sorted"] and got["b"]["complete"]
+    assert got["q"]["exact"] == ["What is a spade?"] and got["q"]["similar"] == ["How long do rakes last in the garden?"] and got["q"]["only_schema"] == []
+    assert (got["r"]["css"], got["r"]["js"], got["r"]["many"]) == (1, 1, False) and got["f"]["microdata_types"] == ["Product"] and got["a"]["elements"] == 1
+    assert got["u"] == ["2024-05-01", "3/4/2024"] and "menu" not in got["m"] and got["m"].startswith("How it works")
+    pair = spark.createDataFrame([("a" * 60, "a" * 60), ("x", "y")], "a string, b string").select(extracts.matching_ratio("a", "b").alias("r")).collect()
+    assert [r["r"] for r in pair] == [1.0, 1.0]
