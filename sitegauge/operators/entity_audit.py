@@ -225,3 +225,44 @@ def majority_name(entities: DataFrame) -> DataFrame:
     rows = entities.filter(F.arrays_overlap("types", F.lit(["Organization", "LocalBusiness"])) & (name != "")).select("page_url", name.alias("name"), F.lower(name).alias("plain"))
     votes = rows.groupBy("plain").agg(F.count_distinct("page_url").alias("pages"), F.min("name").alias("name"), F.count_distinct("name").alias("spellings"))
     return votes.agg(F.max_by("name", F.struct("pages", "plain")).alias("name"), F.max("pages").alias("pages"), (F.sum("spellings") - 1).alias("other_spellings"))
+
+
+def organization_signals(entities: DataFrame) -> DataFrame:
+    """-> page_url, name, url, logo, phone, email, street, locality, country, latitude, longitude, n_profiles of each page's first organization.
+
+    A phone may stand in a contact point, coordinates as numbers or as text."""
+    kinds = F.lit(["Organization", "LocalBusiness", "Corporation"])
+    first = entities.filter(F.arrays_overlap("types", kinds)).groupBy("page_url").agg(F.min_by("props", "pos").alias("p"))
+    p = F.col("p")
+    address = F.from_json(p["address"], "struct<streetAddress: string, addressLocality: string, addressCountry: string>")
+    contact = F.from_json(p["contactPoint"], "struct<telephone: string, email: string>")
+    geo = F.from_json(p["geo"], "struct<latitude: string, longitude: string>")
+    held = lambda *values: F.coalesce(*[F.when(has(v), v) for v in values])
+    profiles = F.when(p["sameAs"].startswith("["), F.size(F.from_json(p["sameAs"], NO_TEXTS))).when(has(p["sameAs"]), 1).otherwise(0)
+    return first.select("page_url", held(p["name"]).alias("name"), held(p["url"]).alias("url"), held(p["logo"]).alias("logo"), held(p["telephone"], contact["telephone"]).alias("phone"), held(p["email"], contact["email"]).alias("email"),
+                        address["streetAddress"].alias("street"), address["addressLocality"].alias("locality"), address["addressCountry"].alias("country"),
+                        geo["latitude"].try_cast("double").alias("latitude"), geo["longitude"].try_cast("double").alias("longitude"), profiles.alias("n_profiles"))
+
+
+def linked_authors(entities: DataFrame) -> DataFrame:
+    """-> page_url, id, author: entities with an author; one that is only an @id has the name of the page's entity of that id."""
+    stated = F.from_json(F.col("props")["author"], "struct<`@id`: string, name: string>")
+    plain = F.when(~F.col("props")["author"].startswith("{"), F.col("props")["author"])
+    rows = entities.filter(has(F.col("props")["author"])).select("page_url", "id", F.coalesce(stated["name"], plain).alias("named"), stated["@id"].alias("author_id"))
+    own = entities.filter("id is not null").groupBy("page_url", F.col("id").alias("author_id")).agg(F.min_by(F.col("props")["name"], "pos").alias("found"))
+    return rows.join(own, ["page_url", "author_id"], "left").select("page_url", "id", F.coalesce("named", "found").alias("author"))
+
+
+def deprecated_properties(entities: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """-> page_url, pos, property: the listed properties that entities still use."""
+    return entities.select("page_url", "pos", F.explode(F.array_intersect(F.map_keys("props"), F.lit(list(names)))).alias("property"))
+
+
+def described(entities: DataFrame, kinds: dict[str, tuple[str, ...]] = EXPECTED) -> DataFrame:
+    """-> page_url, type, values: what the page's first entity of each kind says under the kind's properties (a map, absent ones left out)."""
+    kind = F.try_element_at("types", F.lit(1))
+    first = entities.withColumn("type", kind).filter(F.col("type").isin(*kinds)).groupBy("page_url", "type").agg(F.min_by("props", "pos").alias("p"))
+    wanted = F.lit(None).cast(NO_TEXTS)
+    for name, properties in kinds.items():
+        wanted = F.when(F.col("type") == name, F.lit(list(properties))).otherwise(wanted)
+    return first.withColumn("names", wanted).select("page_url", "type", F.map_filter("p", lambda k, v: F.array_contains("names", k) & has(v)).alias("values"))

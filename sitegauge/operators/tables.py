@@ -103,3 +103,26 @@ def distinct_by_any(df: DataFrame, order: str, *keys: str) -> DataFrame:
         first = df.groupBy(key).agg(F.min(order).alias("_first"))
         df = df.join(first.filter(F.col(key).isNotNull()).withColumnRenamed(key, "_k"), F.col(key) == F.col("_k"), "left").filter(F.col("_first").isNull() | (F.col("_first") == F.col(order))).drop("_first", "_k")
     return df
+
+
+def with_html(pages: DataFrame, limit: int = 25) -> DataFrame:
+    """The first pages by URL that have HTML."""
+    return pages.filter(F.col("html").isNotNull()).orderBy("url", "page_id").limit(limit)
+
+
+def first_urls(df: DataFrame, limit: int = 25) -> DataFrame:
+    """The first different URLs by name."""
+    return df.select("url").filter("url <> ''").distinct().orderBy("url").limit(limit)
+
+
+def lookup(df: DataFrame, **key) -> DataFrame:
+    """The row of a key; the filter reaches the scan."""
+    for name, value in key.items():
+        df = df.filter(F.col(name) == value)
+    return df.limit(1)
+
+
+def in_order_once(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key, null keys left out."""
+    rest = [c for c in df.columns if c != key]
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(key, *[F.col(f"_r.{c}") for c in rest])

@@ -124,3 +124,17 @@ def business_name(spark, sf_dir):
 def page_primary_types(spark, sf_dir):
     types = _entities(spark, sf_dir).groupBy("page_url").agg(F.array_distinct(F.flatten(F.collect_list("types"))).alias("t"))
     return types.select("page_url", audit.primary_type(F.col("t"), F.col("page_url")).alias("primary_type"), F.size("t").alias("n_types"))
+
+
+FIRST = "f AS (SELECT page_url, min_by(struct_pack(name := name, has_url := has_url, has_logo := has_logo, k := k, country := country, type := type), pos) AS r FROM e WHERE pos > 0 GROUP BY 1)"
+
+
+@query(f"""WITH {SQL}, {FIRST} SELECT page_url, r.name AS name, CASE WHEN r.has_url THEN '{ROOT}s' || r.k END AS url, CASE WHEN r.has_logo THEN '{ROOT}logo.png' END AS logo, r.country AS country, CAST(0 AS INTEGER) AS n_profiles FROM f""")
+def organization_facts(spark, sf_dir):
+    return audit.organization_signals(_entities(spark, sf_dir)).select("page_url", "name", "url", "logo", "country", "n_profiles")
+
+
+@query(f"""WITH {SQL}, o AS (SELECT page_url, min_by(struct_pack(n := name, u := has_url, l := has_logo), pos) AS r FROM e WHERE type = 'Organization' GROUP BY 1)
+SELECT page_url, 'Organization' AS type, CAST((r.n IS NOT NULL)::INT + r.u::INT + r.l::INT AS INTEGER) AS n_values FROM o UNION ALL SELECT page_url, 'WebPage', CAST(2 AS INTEGER) FROM e WHERE type = 'WebPage'""")
+def entity_descriptions(spark, sf_dir):
+    return audit.described(_entities(spark, sf_dir)).select("page_url", "type", F.size("values").alias("n_values"))

@@ -130,3 +130,13 @@ def test_extracts(spark):
     assert got["u"] == ["2024-05-01", "3/4/2024"] and "menu" not in got["m"] and got["m"].startswith("How it works")
     pair = spark.createDataFrame([("a" * 60, "a" * 60), ("x", "y")], "a string, b string").select(extracts.matching_ratio("a", "b").alias("r")).collect()
     assert [r["r"] for r in pair] == [1.0, 1.0]
+
+
+def test_organizations_and_authors(spark):
+    blocks = [json.dumps({"@graph": [{"@type": "LocalBusiness", "@id": "#o", "name": "Acme", "contactPoint": {"telephone": "+1 555"}, "address": {"streetAddress": "1 Road", "addressCountry": "US"}, "geo": {"latitude": "1.5", "longitude": 2},
+                                      "sameAs": ["https://a", "https://b"], "map": "m"}, {"@type": "Article", "@id": "#a", "author": {"@id": "#p"}}, {"@type": "Person", "@id": "#p", "name": "Jo Doe"}, {"@type": "Article", "author": "Al"}]}), "{not json"]
+    e = entity_audit.entity_table(spark.createDataFrame([("https://x.org/", blocks)], "url string, jsonld array<string>"))
+    o = entity_audit.organization_signals(e).first()
+    assert (o["name"], o["phone"], o["street"], o["country"], o["latitude"], o["longitude"], o["n_profiles"]) == ("Acme", "+1 555", "1 Road", "US", 1.5, 2.0, 2)
+    assert sorted(r["author"] for r in entity_audit.linked_authors(e).collect()) == ["Al", "Jo Doe"]
+    assert [r["property"] for r in entity_audit.deprecated_properties(e, extracts.DEPRECATED).collect()] == ["map"]
