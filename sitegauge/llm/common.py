@@ -84,7 +84,7 @@ def small_side(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return F.broadcast(df) if size <= SMALL_BYTES else df
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "4m") -> None:
     """Arrow batches small enough for a Python worker whatever the texts' length.
 
     Results are lazy, so the session keeps these settings."""

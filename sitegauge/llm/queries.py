@@ -43,7 +43,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
-                      (F.size("spans") > 0).alias("has_repeats"), "spans")
+                      (F.size("spans") > 0).alias("has_repeats"), F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias("spans"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# The same rows by brute force: all pairs of texts that share a shingle, and all strings of 400 bytes.
+JACCARD_SQL = r"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w),
+e AS (SELECT r, len(g) AS n, unnest(g) AS h FROM s), p AS (SELECT a.r AS x, b.r AS y, a.n AS m, b.n AS n, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.r <> b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * c >= 85 * (m + n - c)), c AS (SELECT r, r AS other FROM s UNION SELECT c.r, l.y FROM c JOIN l ON l.x = c.other), k AS (SELECT c.r, min(s.doc_id) AS component_id FROM c JOIN s ON s.r = c.other GROUP BY 1),
+n AS (SELECT x AS r, count(*) AS n_links FROM l GROUP BY 1)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM s JOIN k USING (r) LEFT JOIN n USING (r)"""
+REPEATS_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(to_hex(encode(coalesce(text, '')))) AS x FROM documents), b AS (SELECT r, doc_id, x, length(x) // 2 AS n FROM d),
+w AS (SELECT r, unnest(range(0, n - 399)) AS i, x FROM b WHERE n >= 400), h AS (SELECT r, i, md5(substring(x, 2 * i + 1, 800)) AS h FROM w), t AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+m AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM h JOIN t USING (h)), g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM m),
+v AS (SELECT r, k, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY ALL), q AS (SELECT r, sum(z - a) AS removed, count(*) AS spans, string_agg(a || '-' || z, ',' ORDER BY a) AS shown FROM v GROUP BY 1),
+o AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM v), y AS (SELECT o.r, string_agg(substring(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(x), 2 * max(z) + 1) AS kept FROM o JOIN b USING (r) GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(from_hex(coalesce(kept, x))) AS kept_sha256, removed IS NOT NULL AS has_repeats, coalesce(shown, '') AS spans FROM b LEFT JOIN q USING (r) LEFT JOIN y USING (r)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": JACCARD_SQL, "op4_suffix_dedup": REPEATS_SQL}
