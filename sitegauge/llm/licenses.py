@@ -109,7 +109,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
         marks[r["slot"]] = 1
     known = F.lit(bytes(marks))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_hashes(F.col("text")).alias("s"))
-    hits = texts.select("doc_id", "s", F.filter(F.concat("s", _windows(F.col("s"), STRIDE)), lambda x: F.substring(known, _slot(x) + 1, 1) == F.lit(b"\x01")).alias("hit")).filter(F.size("hit") > 0)
+    hits = texts.select("doc_id", "s", F.filter(F.concat("s", _windows(F.col("s"), STRIDE)), lambda x: F.substring(known, _slot(x) + 1, 1) == F.lit(b"\x01")).alias("hit"))
     rows = hits.select("doc_id", "s", F.explode(F.array_distinct("hit")).alias("signature")).join(small_side(index, scratch, "index"), "signature")
     held = rows.select("doc_id", F.col("name").alias("license"), "family", (F.size(F.array_intersect("shingles", "s")) / F.size("shingles")).alias("contained"))
     held = held.filter(F.col("contained") >= CONTAINED).groupBy("doc_id", "family", "license").agg(F.max("contained").alias("contained"))
