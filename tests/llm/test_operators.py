@@ -33,11 +33,12 @@ def tables(spark, tmp_path_factory):
     for name, docs, known in (("full", rows(), labels), ("empty", [], [])):
         spark.createDataFrame(docs, DOCS).write.parquet(f"{top}/{name}/documents.parquet")
         spark.createDataFrame(known, LABELS).write.parquet(f"{top}/{name}/labels.parquet")
+        spark.createDataFrame([(c, c % 2, "user", t) for c, t in enumerate(TEXTS)] if docs else [], "conv_id long, turn int, role string, text string").write.parquet(f"{top}/{name}/conversations.parquet")
         spark.createDataFrame([(7, ITEM), (8, None), (9, "")] if docs else [], "item_id long, text string").write.parquet(f"{top}/{name}/benchmark.parquet")
     return str(top)
 
 
-PER_ROW = [n for n in queries.QUERIES if n.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op6", "op8")]
+PER_ROW = [n for n in queries.QUERIES if n.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op6", "op8", "op12")]
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
