@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions.scores import grade, page_score, severity
 from sitegauge.functions.text import content_hash
+from sitegauge.operators.content import microdata_types
 from sitegauge.operators.graph import crawl_graph
 from sitegauge.operators.rules import Rule, content_rules, evaluate, judge, site_rules
+from sitegauge.sources.dom import parse_dom
 from sitegauge.sources.html import page_features
 from sitegauge.sources.scratch import saved
 from sitegauge.sources.signals import page_signals
@@ -24,7 +26,8 @@ def full_analysis(pages: DataFrame, folder: str) -> DataFrame:
 
     Copies are joined only where there are any, from a written table, so that
     pages that all share one content (blank ones) can be split over tasks."""
-    features = saved(page_signals(pages).withColumn("_h", content_hash(F.col("title"), F.lit(""), F.col("text"))), folder)
+    typed = parse_dom(pages).withColumn("microdata_types", microdata_types(F.col("dom"))).drop("dom")
+    features = saved(page_signals(typed).withColumn("_h", content_hash(F.col("title"), F.lit(""), F.col("text"))), folder)
     graph = saved(crawl_graph(features, folder).groupBy("url").agg(F.max("inbound_links").alias("inbound_links"), F.max("click_depth").alias("click_depth")), folder)
     copies = saved(features.groupBy("_h").agg(F.count("*").alias("copies")).filter("copies > 1"), folder)
     return evaluate(features.join(copies, "_h", "left").drop("_h").join(graph, "url", "left"), content_rules() + site_rules())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions.scores import round2
 from sitegauge.operators import entity_audit as audit
+from sitegauge.operators import schema_repair
 from sitegauge.registry import query
 from sitegauge.sources.tables import table
 
@@ -138,3 +139,14 @@ def organization_facts(spark, sf_dir):
 SELECT page_url, 'Organization' AS type, CAST((r.n IS NOT NULL)::INT + r.u::INT + r.l::INT AS INTEGER) AS n_values FROM o UNION ALL SELECT page_url, 'WebPage', CAST(2 AS INTEGER) FROM e WHERE type = 'WebPage'""")
 def entity_descriptions(spark, sf_dir):
     return audit.described(_entities(spark, sf_dir)).select("page_url", "type", F.size("values").alias("n_values"))
+
+
+@query(f"""WITH {SQL}, c AS (SELECT page_url, k, name, has_logo, row_number() OVER (PARTITION BY page_url ORDER BY type DESC, pos) AS ord FROM e WHERE pos > 0 AND (type = 'Organization' OR name IS NOT NULL)),
+o AS (SELECT page_url, min_by(name, ord) FILTER (name IS NOT NULL) AS name, bool_or(has_logo) AS logo, bool_or(k % 13 = 0) AS main, count(*) FILTER (k % 7 = 0) AS parents, count(*) AS n FROM c GROUP BY 1),
+w AS (SELECT e.page_url, e.id, e.name, (SELECT count(*) FROM e x WHERE x.page_url = e.page_url AND x.pos > 0) AS others FROM e WHERE pos = 0)
+SELECT w.page_url AS url, '{{"@context":"https://schema.org","@graph":[' || CASE WHEN others = 0 THEN '' ELSE '{{"@id":"{ROOT}#organization","@type":"Organization"' || CASE WHEN n > 0 THEN ',"address":{{"@type":"PostalAddress","addressCountry":"US"}}' ELSE '' END
+|| CASE WHEN logo THEN ',"logo":"{ROOT}logo.png"' ELSE '' END || CASE WHEN main THEN ',"mainEntityOfPage":{{"@id":"' || w.page_url || '"}}' ELSE '' END || CASE WHEN n > 0 THEN ',"memberOf":{{"@id":"' || w.page_url || '"}}' ELSE '' END
+|| ',"name":' || coalesce('"' || o.name || '"', 'null') || CASE WHEN parents > 0 THEN ',"parentOrganization":[' || array_to_string(list_transform(range(0, parents), lambda i: '{{"@id":"{ROOT}#s4"}}'), ',') || ']' ELSE '' END || ',"url":"https://shop.example"}},' END
+|| '{{' || CASE WHEN id IS NOT NULL THEN '"@id":"' || id || '",' ELSE '' END || '"@type":"WebPage","name":"' || w.name || '"' || CASE WHEN others = 0 THEN ',"provider":{{"@id":"{ROOT}#organization"}}' ELSE '' END || ',"url":"' || w.page_url || '"}}]}}' AS jsonld_mended FROM w LEFT JOIN o USING (page_url)""")
+def repaired_schemas(spark, sf_dir):
+    return schema_repair.repaired(pages(spark, sf_dir), F.lit(ROOT)).select("url", "jsonld_mended")
