@@ -36,7 +36,7 @@ GRAPH = f"array<{ENTITY}>"
 
 def quoted(text: Column) -> Column:
     """The JSON string of a text."""
-    return F.substring(F.regexp_replace(F.to_json(F.struct(text.alias("v"))), r"\}$", ""), 6, 1 << 30)
+    return F.substring(F.regexp_replace(F.to_json(F.named_struct(F.lit("v"), text)), r"\}$", ""), 6, 1 << 30)
 
 
 def plain(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegauge.operators import content
+from sitegauge.operators import content, page_types
 from sitegauge.registry import query
 from sitegauge.sources.tables import table
 
@@ -85,3 +85,42 @@ def turn_alignment(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", opening.alias("w"))
     turns = turns.withColumn("next", F.lead("w").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("next is not null")
     return turns.select("conv_id", "turn", content.in_order(F.col("w"), F.col("next")).alias("in_order"))
+
+
+def typed_pages(spark, sf_dir) -> DataFrame:
+    """A page for each part, of a type by its key: service, product, article, questions, data set, plain page, and one without a schema."""
+    c, k = F.col, F.col("p_partkey")
+    one = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    block = (F.when(k % 7 == 0, one('{"@graph":[{"@type":"Service","name":"', c("p_name"), '","areaServed":["', c("p_brand"), '"],"offers":{"price":', c("p_size"), '}},{"@type":"Organization","name":"', c("p_brand"), '"},{"@type":"Offer","serviceType":"', c("p_type"), '"}]}'))
+             .when(k % 7 == 1, one('{"@type":["Thing","Product"],"sku":', k, ',"brand":{"name":"', c("p_brand"), '"},"color":"x"}'))
+             .when(k % 7 == 2, one('[{"@type":"Person","name":"P"},{"@type":"Article","headline":null,"datePublished":"2024-01-0', c("p_size") % 9 + 1, '"}]'))
+             .when(k % 7 == 3, one('{"@type":"FAQPage","mainEntity":[{"@type":"Question","name":"What is ', c("p_name"), '?","acceptedAnswer":{"text":"A ', c("p_type"), '."}},{"@type":"Question","name":"Why?","suggestedAnswer":[{"text":"One"},{"text":"two"}]},{"@type":"Question","name":"No answer"}]}'))
+             .when(k % 7 == 4, one('{"@type":"Dataset","license":"', c("p_brand"), '","distribution":[{"size":', c("p_size"), "}]}")).when(k % 7 == 5, one('{"@type":"WebPage","name":"', c("p_name"), '","about":{"k":', c("p_size"), '},"extra":1}')))
+    html = one("<html><head><title>T ", k, '</title></head><body><h1>Head <b>', c("p_name"), '</b></h1><p class="post-byline byline">By ', c("p_brand"), "</p><p>What is ", c("p_name"), "? A ", c("p_type"), ".</p><p>Why? One two</p></body></html>")
+    pages = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.array_compact(F.array(block)).alias("jsonld"), html.alias("html"), F.concat(F.lit("T "), k.cast("string")).alias("title"), F.create_map().cast("map<string, array<string>>").alias("metas"),
+                                               one("Head ", c("p_name"), " By ", c("p_brand"), " What is ", c("p_name"), "? A ", c("p_type"), ". Why? One two").alias("text"))
+    return content.with_dom(pages)
+
+
+@query("""WITH p AS (SELECT *, p_partkey % 7 AS m FROM part)
+SELECT p_partkey, CASE m WHEN 0 THEN 'Service' WHEN 1 THEN 'Product' WHEN 2 THEN 'Article' WHEN 3 THEN 'FAQPage' WHEN 4 THEN 'Dataset' ELSE 'WebPage' END AS detected_type, CAST(CASE m WHEN 1 THEN 0.8 WHEN 6 THEN 0.5 ELSE 1 END AS DOUBLE) AS confidence,
+CASE m WHEN 0 THEN 'areaServed=["' || p_brand || '"]|offers=[{"price":' || p_size || '},{"@type":"Offer","serviceType":"' || p_type || '"}]|provider={"@type":"Organization","name":"' || p_brand || '"}|serviceType="' || p_type || '"'
+WHEN 1 THEN 'brand={"name":"' || p_brand || '"}|sku=' || p_partkey WHEN 2 THEN 'author="By ' || p_brand || '"|datePublished="2024-01-0' || (p_size % 9 + 1) || '"|headline="Head ' || p_name || '"'
+WHEN 4 THEN 'distribution=[{"size":' || p_size || '}]|license="' || p_brand || '"' WHEN 5 THEN 'about={"k":' || p_size || '}|name="' || p_name || '"' ELSE '' END AS properties,
+CASE m WHEN 3 THEN 'What is ' || p_name || '?=A ' || p_type || '.|Why?=One two' ELSE '' END AS questions, m = 3 AS questions_shown FROM p""")
+def page_type_facts(spark, sf_dir):
+    out = page_types.page_types(typed_pages(spark, sf_dir), "p_partkey")
+    named = F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return out.select("p_partkey", "detected_type", "confidence", F.array_join(named, "|").alias("properties"), F.array_join(F.transform("questions", lambda q: F.concat_ws("=", q["question"], q["answer"])), "|").alias("questions"), "questions_shown")
+
+
+SHAPES = {(1, "Product"): "`@type`: ARRAY<STRING>, brand: OBJECT<name: STRING>, color: STRING, sku: BIGINT", (1, "Thing"): "`@type`: ARRAY<STRING>, brand: OBJECT<name: STRING>, color: STRING, sku: BIGINT",
+          (4, "Dataset"): "`@type`: STRING, distribution: ARRAY<OBJECT<size: BIGINT>>, license: STRING", (5, "WebPage"): "`@type`: STRING, about: OBJECT<k: BIGINT>, extra: BIGINT, name: STRING",
+          (0, "Service"): "`@type`: STRING, areaServed: ARRAY<STRING>, name: STRING, offers: OBJECT<price: BIGINT>", (0, "Organization"): "`@type`: STRING, name: STRING", (0, "Offer"): "`@type`: STRING, serviceType: STRING",
+          (2, "Person"): "`@type`: STRING, name: STRING", (2, "Article"): "`@type`: STRING, datePublished: STRING, headline: VOID",
+          (3, "FAQPage"): "`@type`: STRING, mainEntity: ARRAY<OBJECT<`@type`: STRING, acceptedAnswer: OBJECT<text: STRING>, name: STRING, suggestedAnswer: ARRAY<OBJECT<text: STRING>>>>"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS type, count(*) AS entities, 'OBJECT<{shape}>' AS shape FROM part WHERE p_partkey % 7 = {m}" for (m, t), shape in SHAPES.items()))
+def entity_shapes(spark, sf_dir):
+    return page_types.schema_shapes(typed_pages(spark, sf_dir))
