@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitegauge.functions.scores import grade, page_score, severity
 from sitegauge.functions.text import content_hash
 from sitegauge.operators.content import microdata_types
+from sitegauge.operators.fetched import with_answers, with_findings, with_robots
 from sitegauge.operators.graph import crawl_graph
 from sitegauge.operators.rules import Rule, content_rules, evaluate, judge, site_rules
 from sitegauge.sources.dom import parse_dom
@@ -21,13 +22,19 @@ def page_issues(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     return evaluate(saved(page_features(pages)), rules or content_rules())
 
 
-def full_analysis(pages: DataFrame, folder: str) -> DataFrame:
-    """Issues of the whole catalog, with inbound links, click depth and copies joined on.
+def full_analysis(pages: DataFrame, folder: str, fetches: DataFrame | None = None, robots: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
+    """Issues of the whole catalog, with inbound links, click depth and copies joined on, and what was fetched where there are tables of it (see operators.fetched).
 
     Copies are joined only where there are any, from a written table, so that
     pages that all share one content (blank ones) can be split over tasks."""
     typed = parse_dom(pages).withColumn("microdata_types", microdata_types(F.col("dom"))).drop("dom")
     features = saved(page_signals(typed).withColumn("_h", content_hash(F.col("title"), F.lit(""), F.col("text"))), folder)
+    if fetches is not None:
+        features = with_answers(features, fetches, folder)
+    if robots is not None:
+        features = with_robots(features, robots)
+    if findings is not None:
+        features = with_findings(features, findings)
     graph = saved(crawl_graph(features, folder).groupBy("url").agg(F.max("inbound_links").alias("inbound_links"), F.max("click_depth").alias("click_depth")), folder)
     copies = saved(features.groupBy("_h").agg(F.count("*").alias("copies")).filter("copies > 1"), folder)
     return evaluate(features.join(copies, "_h", "left").drop("_h").join(graph, "url", "left"), content_rules() + site_rules())

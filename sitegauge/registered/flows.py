@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from sitegauge.functions.scores import round2
-from sitegauge.operators import rule_results
+from sitegauge.operators import fetched, rule_results
 from sitegauge.registry import query
 from sitegauge.sources import sitemaps
-from sitegauge.sources.scratch import shared_folder
+from sitegauge.sources.scratch import saved, shared_folder
+from sitegauge.sources.signals import page_signals
 from sitegauge.sources.tables import table
 from sitegauge.streaming import sink
 
@@ -81,3 +82,28 @@ def keyed_sink(spark, sf_dir):
     for number in (0, 1, 1, 2):
         sink.store(events.filter(F.col("event_id") % 3 == number), number, out, ("user_id", "event_type", "day"), {"small_value": lambda: F.col("value") >= 10})
     return sink.table(spark, events.schema, out).groupBy("batch").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+def _fetches(spark, sf_dir):
+    """Answers for all pages and for the links of their navigation: missing, failing, late and redirecting ones by page id and by the link's length; some redirects lead in circles."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    k, none = F.col("page_id"), F.lit(None).cast("string")
+    hop = lambda n: F.concat(F.lit("https://hop.example/"), k.cast("string"), F.lit("/"), n.cast("string"))
+    own = pages.select("url", k.alias("at"), F.when(k % 8 == 0, 404).when(k % 8 == 1, 503).when(k % 8 == 2, 301).otherwise(200).alias("status"), (k % 8 == 3).alias("timed_out"), F.when(k % 8 == 2, hop(F.lit(1))).alias("location"))
+    turns = pages.filter(k % 8 == 2).select("page_id", F.explode(F.sequence(F.lit(1), (k % 3 + 1).cast("int"))).alias("n"))
+    last = F.col("n") == k % 3 + 1
+    hops = turns.select(hop(F.col("n")).alias("url"), k.alias("at"), F.when(~last | (k % 16 == 2), 302).otherwise(200).alias("status"), F.lit(False).alias("timed_out"), F.when(~last, hop(F.col("n") + 1)).when(k % 16 == 2, hop(F.lit(1))).alias("location"))
+    href = F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1), F.lit('<a href="([^"]*)"'), F.lit(1)))).alias("href")
+    links = pages.select("url", href).select(F.concat(F.regexp_extract("url", "^(https?://[^/]*)", 1), "href").alias("url"), F.length("href").alias("n")).distinct()
+    links = links.select("url", F.lit(-1).cast("long").alias("at"), F.when(F.col("n") % 4 == 0, 404).when(F.col("n") % 5 == 0, 301).otherwise(200).alias("status"), F.lit(False).alias("timed_out"), none.alias("location"))
+    return own.unionByName(hops).unionByName(links).withColumn("bytes", F.lit(0))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+(\?|$)', '\1') AS key, url, list_distinct(regexp_extract_all(regexp_extract(coalesce(html, ''), '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1)) AS d, regexp_extract_all(regexp_extract(coalesce(html, ''), '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) AS hrefs FROM pages),
+o AS (SELECT key, max(page_id) AS k FROM p GROUP BY 1)
+SELECT page_id, CASE k % 8 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN 301 ELSE 200 END::INTEGER AS status_code, k % 8 = 3 AS timed_out, CASE WHEN k % 8 = 2 AND k % 16 <> 2 THEN k % 3 + 1 END::INTEGER AS redirect_chain, k % 16 = 2 AS redirect_loop,
+len(list_filter(hrefs, lambda h: length(h) % 4 = 0))::INTEGER AS broken_links_count, len(list_filter(hrefs, lambda h: length(h) % 4 <> 0 AND length(h) % 5 = 0))::INTEGER AS redirected_links FROM p JOIN o USING (key)""")
+def fetched_states(spark, sf_dir):
+    pages = page_signals(table(spark, sf_dir, "pages")).select("page_id", "url", "anchors", "images")
+    out = fetched.with_answers(saved(pages), _fetches(spark, sf_dir))
+    return out.select("page_id", "status_code", "timed_out", "redirect_chain", "redirect_loop", "broken_links_count", "redirected_links")
