@@ -158,10 +158,10 @@ def text_metrics(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.word_count(t).alias("n_words"), F.size(text.sentences(t)).alias("n_sentences"), F.length(t).alias("n_characters"))
 
 
-@query("""WITH w AS (SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') WHERE length(word) > 3 GROUP BY word)
+@query(r"""WITH w AS (SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\pL+')) AS word FROM documents) WHERE length(word) > 3 GROUP BY word)
 SELECT word, n, n_docs FROM w ORDER BY n DESC, word LIMIT 100""")
 def top_words(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     return docs.filter(F.length("word") > 3).groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs")).orderBy(F.desc("n"), "word").limit(100)
 
 
@@ -186,12 +186,11 @@ def latest_by_key(spark, sf_dir):
     return out.select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-@query("""WITH t AS (SELECT o_orderkey AS k, o_orderstatus AS status, 1 AS created_at FROM orders WHERE o_orderkey % 2 = 0), c AS (SELECT o_orderkey AS k, 'new' AS status, 2 AS created_at FROM orders WHERE o_orderkey % 3 = 0)
-SELECT k, CASE WHEN c.k IS NOT NULL THEN c.status ELSE t.status END AS status, coalesce(t.created_at, c.created_at) AS created_at FROM t FULL JOIN c USING (k)""")
+@query("""WITH c AS (SELECT l_orderkey AS k, 'shipped' AS status, 2 AS created_at FROM lineitem GROUP BY 1) SELECT k, coalesce(c.status, o_orderstatus) AS status, CASE WHEN o_orderkey IS NOT NULL THEN 1 ELSE 2 END AS created_at FROM orders FULL JOIN c ON o_orderkey = k""".replace("SELECT k,", "SELECT coalesce(o_orderkey, k) AS k,"))
 def keyed_upsert(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    target = orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.lit(1).alias("created_at"))
-    changes = orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.lit("new").alias("status"), F.lit(2).alias("created_at"))
+    """All orders, with those that have line items as changes."""
+    target = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.lit(1).alias("created_at"))
+    changes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct().select("k", F.lit("shipped").alias("status"), F.lit(2).alias("created_at"))
     return tables.upsert(target, changes, ["k"])
 
 

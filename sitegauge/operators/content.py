@@ -239,6 +239,49 @@ def in_order(schema: Column, shown: Column) -> Column:
     return let(plain(shown), lambda s: F.element_at(F.aggregate(plain(schema), zeros(s), lambda row, name: table_row(row, name, s)), -1))
 
 
+BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "dl")
+ASKED = ("who", "what", "when", "where", "why", "how", "is", "are", "can", "should", "will")
+ITEMS, ROWS, PREVIEW, PREVIEWED = 10, 5, 3, 50
+
+
+def snippet_signals(dom: Column) -> Column:
+    """struct<blocks, top, lists, tables, definitions, questions>: what may become a search snippet.
+
+    blocks: headings, paragraphs, lists and tables; top: 30 % of them, rounded down.  lists and tables: those whose number among lists (tables) is top at most, with up to 10 items (5 rows)
+    counted.  definitions: headings of level 2 whose next paragraph or div beside them is a paragraph of 20 to 200 characters.  questions: headings that ask."""
+    nodes = numbered(dom, "tag", "parent", "last", "chars")
+    of = lambda *tags: F.filter(nodes, lambda x: x["tag"].isin(*tags))
+    inside = lambda x, *tags: F.filter(nodes, lambda y: (y["k"] > x["k"]) & (y["k"] <= x["last"]) & y["tag"].isin(*tags))
+    words_of = lambda y: text_of(dom, y["k"], y["last"])
+    count = F.size(of(*BLOCKS))
+    top = F.floor(count * 0.3).cast("int")
+    early = lambda found: F.slice(found, F.lit(1), top + 1)
+    lists = F.transform(early(of("ul", "ol")), lambda x, i: let(F.slice(inside(x, "li"), 1, ITEMS), lambda li: F.struct(
+        x["tag"].alias("kind"), i.alias("place"), F.size(li).alias("items"), F.transform(F.slice(li, 1, PREVIEW), lambda y: F.left(words_of(y), F.lit(PREVIEWED))).alias("shown"))))
+    tables = F.transform(early(of("table")), lambda x, i: F.struct(i.alias("place"), F.least(F.lit(ROWS), F.size(inside(x, "tr"))).alias("rows"), (F.size(inside(x, "th")) > 0).alias("headers")))
+    beside = lambda h: F.try_element_at(F.filter(nodes, lambda y: (y["parent"] == h["parent"]) & (y["k"] > h["last"]) & y["tag"].isin("p", "div")), F.lit(1))
+    defined = F.transform(of("h2"), lambda h: let(beside(h), lambda p: F.when((p["tag"] == "p") & p["chars"].between(20, 200), F.struct(words_of(h).alias("heading"), words_of(p).alias("definition")))))
+    asks = lambda t: t.endswith("?") | t.rlike(f"^({'|'.join(ASKED)}) ")
+    heads = F.transform(of("h1", "h2", "h3", "h4", "h5", "h6"), lambda h: F.struct(h["tag"].alias("level"), words_of(h).alias("text")))
+    return F.struct(count.alias("blocks"), top.alias("top"), lists.alias("lists"), tables.alias("tables"), F.array_compact(defined).alias("definitions"), F.filter(heads, lambda h: asks(F.lower(h["text"]))).alias("questions"))
+
+
+def language_signals(dom: Column) -> Column:
+    """struct<html_lang, langs, chars, non_ascii, non_ascii_percent, paragraphs>: languages that the page states, and characters of its text (texts joined by a space) outside ASCII."""
+    lang = lambda x: F.try_element_at(x["attrs"], F.lit("lang"))
+    whole = F.array_join(F.transform(F.filter(dom, lambda x: (x["tag"] == "#text") & (x["chars"] > 0)), lambda x: stripped(x["text"])), " ")
+    return let(whole, lambda t: let(F.struct(F.length(t).alias("n"), F.length(F.regexp_replace(t, r"[\x00-\x7F]", "")).alias("odd")), lambda c: F.struct(
+        _first(F.transform(F.filter(dom, lambda x: x["tag"] == "html"), lang)).alias("html_lang"), F.transform(F.filter(dom, lambda x: lang(x).isNotNull()), lambda x: F.struct(x["tag"].alias("tag"), lang(x).alias("lang"))).alias("langs"),
+        c["n"].alias("chars"), c["odd"].alias("non_ascii"), F.coalesce(F.round(F.try_divide(c["odd"] * 100.0, c["n"]), 2), F.lit(0.0)).alias("non_ascii_percent"), F.size(F.filter(dom, lambda x: x["tag"] == "p")).alias("paragraphs"))))
+
+
+def branding(dom: Column, metas: Column) -> Column:
+    """struct<theme_color, apple_icons array<struct<sizes, href>>>."""
+    at = lambda x, n: F.try_element_at(x["attrs"], F.lit(n))
+    icons = F.filter(dom, lambda x: (x["tag"] == "link") & F.array_contains(F.split(F.coalesce(at(x, "rel"), F.lit("")), r"\s+"), "apple-touch-icon"))
+    return F.struct(F.nullif(F.try_element_at(F.try_element_at(metas, F.lit("theme-color")), F.lit(1)), F.lit("")).alias("theme_color"), F.transform(icons, lambda x: F.struct(at(x, "sizes").alias("sizes"), at(x, "href").alias("href"))).alias("apple_icons"))
+
+
 def image_hosts(src: Column, page_url: Column) -> Column:
     """The host of an image that lies on neither the page's host nor one under it; null if there is none."""
     h = F.lower(host(src))

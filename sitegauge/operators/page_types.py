@@ -141,6 +141,29 @@ def page_types(pages: DataFrame, *keys: str) -> DataFrame:
                       ((F.size(q) > 0) & F.forall(F.slice(q, 1, CHECKED), lambda p: F.contains(page, flat(p["question"])) & F.contains(page, flat(p["answer"])))).alias("questions_shown"))
 
 
+CHECKS = {"BreadcrumbList": ("itemListElement",), "Article": ("headline", "author", "datePublished"), "NewsArticle": ("headline", "author", "datePublished"), "BlogPosting": ("headline", "author", "datePublished"), "FAQPage": ("mainEntity",),
+          "HowTo": ("step",), "Organization": ("name", "url"), "LocalBusiness": ("name", "address", "description")}
+COUNTED = {"BreadcrumbList": "itemListElement", "FAQPage": "mainEntity", "HowTo": "step"}
+RETIRED = ("DataFeed", "DataCatalog", "Residence", "CivicStructure")
+
+
+def schema_checks(graph: Column) -> Column:
+    """array<struct<type, valid, missing, retired, members>> of a page's entities: required properties of eight types that are absent or empty, types that are no longer used, and how many
+    members a trail, question page or instruction lists; an entity of several types is judged by the first."""
+    def check(e: Column) -> Column:
+        kind = F.coalesce(F.try_element_at(types(e), F.lit(1)), F.lit("Unknown"))
+        missing, members = F.array().cast("array<string>"), F.lit(None).cast("int")
+        for name, needed in CHECKS.items():
+            missing = F.when(kind == name, F.array_compact(F.array(*[F.when(~truthy(e[n]), F.lit(n)) for n in needed]))).otherwise(missing)
+        for name, listed in COUNTED.items():
+            members = F.when(kind == name, F.when(e[listed].startswith("["), F.size(_listed(e[listed]))).otherwise(0)).otherwise(members)
+        retired = kind.isin(*RETIRED)
+        return let(F.struct(kind.alias("type"), missing.alias("missing"), retired.alias("retired"), members.alias("members")), lambda c: F.struct(
+            c["type"].alias("type"), ((F.size(c["missing"]) == 0) & ~c["retired"]).alias("valid"), c["missing"].alias("missing"), c["retired"].alias("retired"), c["members"].alias("members")))
+
+    return F.transform(graph, check)
+
+
 def schema_shapes(pages: DataFrame) -> DataFrame:
     """-> type, entities, shape: for each entity type of the site, how many entities there are and the merged shape of all of them.
 

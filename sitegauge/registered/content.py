@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitegauge.functions import pages
 from sitegauge.operators import content, page_types
+from sitegauge.operators.schema_repair import entity_graph
 from sitegauge.registry import query
+from sitegauge.sources.signals import page_signals
 from sitegauge.sources.tables import table
 
 STRINGS = r"list_filter(list_transform(string_split(regexp_replace({0}, '(?s)<(script|style)\b.*?</(?:script|style)>|<!--.*?-->|<[^>]*>', chr(1), 'g'), chr(1)), lambda x: regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '^\s+|\s+$', '', 'g')), lambda x: x <> '')".format
@@ -97,9 +100,9 @@ def typed_pages(spark, sf_dir) -> DataFrame:
              .when(k % 7 == 3, one('{"@type":"FAQPage","mainEntity":[{"@type":"Question","name":"What is ', c("p_name"), '?","acceptedAnswer":{"text":"A ', c("p_type"), '."}},{"@type":"Question","name":"Why?","suggestedAnswer":[{"text":"One"},{"text":"two"}]},{"@type":"Question","name":"No answer"}]}'))
              .when(k % 7 == 4, one('{"@type":"Dataset","license":"', c("p_brand"), '","distribution":[{"size":', c("p_size"), "}]}")).when(k % 7 == 5, one('{"@type":"WebPage","name":"', c("p_name"), '","about":{"k":', c("p_size"), '},"extra":1}')))
     html = one("<html><head><title>T ", k, '</title></head><body><h1>Head <b>', c("p_name"), '</b></h1><p class="post-byline byline">By ', c("p_brand"), "</p><p>What is ", c("p_name"), "? A ", c("p_type"), ".</p><p>Why? One two</p></body></html>")
-    pages = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.array_compact(F.array(block)).alias("jsonld"), html.alias("html"), F.concat(F.lit("T "), k.cast("string")).alias("title"), F.create_map().cast("map<string, array<string>>").alias("metas"),
+    typed = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.array_compact(F.array(block)).alias("jsonld"), html.alias("html"), F.concat(F.lit("T "), k.cast("string")).alias("title"), F.create_map().cast("map<string, array<string>>").alias("metas"),
                                                one("Head ", c("p_name"), " By ", c("p_brand"), " What is ", c("p_name"), "? A ", c("p_type"), ". Why? One two").alias("text"))
-    return content.with_dom(pages)
+    return content.with_dom(typed)
 
 
 @query("""WITH p AS (SELECT *, p_partkey % 7 AS m FROM part)
@@ -124,3 +127,46 @@ SHAPES = {(1, "Product"): "`@type`: ARRAY<STRING>, brand: OBJECT<name: STRING>,
 @query(" UNION ALL ".join(f"SELECT '{t}' AS type, count(*) AS entities, 'OBJECT<{shape}>' AS shape FROM part WHERE p_partkey % 7 = {m}" for (m, t), shape in SHAPES.items()))
 def entity_shapes(spark, sf_dir):
     return page_types.schema_shapes(typed_pages(spark, sf_dir))
+
+
+@query(rf"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, regexp_extract(coalesce(html, ''), '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages), c AS (SELECT page_id, len(regexp_extract_all(h, '<(?:p|h1|ul)>')) AS blocks, list_transform(regexp_extract_all(nav, '(?s)<li>(.*?)</li>', 1), lambda x: array_to_string({STRINGS('x')}, '')) AS li,
+array_to_string({STRINGS(r"regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1)")}, '') AS h1 FROM p)
+SELECT page_id, CAST(blocks AS INTEGER) AS blocks, CAST(floor(blocks * 0.3) AS INTEGER) AS top, CAST(len(li[1:10]) AS INTEGER) AS items, array_to_string(list_transform(li[1:3], lambda x: left(x, 50)), '|') AS shown,
+CASE WHEN regexp_matches(lower(h1), '\?$|^(who|what|when|where|why|how|is|are|can|should|will) ') THEN h1 ELSE '' END AS questions FROM c""")
+def page_snippets(spark, sf_dir):
+    s = content.with_dom(table(spark, sf_dir, "pages")).select("page_id", content.snippet_signals(F.col("dom")).alias("s"))
+    first = F.try_element_at(F.col("s.lists"), F.lit(1))
+    return s.select("page_id", "s.blocks", "s.top", first["items"].alias("items"), F.array_join(first["shown"], "|").alias("shown"), F.array_join(F.transform("s.questions", lambda q: q["text"]), "|").alias("questions"))
+
+
+@query(rf"""WITH t AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS html_lang, array_to_string({STRINGS("html")}, ' ') AS t, len(regexp_extract_all(regexp_replace(html, '(?s)<(script|style)\b.*?</(?:script|style)>', '', 'g'), '<p>')) AS paragraphs FROM pages)
+SELECT page_id, html_lang, CAST(length(t) AS INTEGER) AS chars, CAST(length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) AS INTEGER) AS non_ascii, CAST(paragraphs AS INTEGER) AS paragraphs FROM t""")
+def page_language_signals(spark, sf_dir):
+    s = content.with_dom(table(spark, sf_dir, "pages")).select("page_id", content.language_signals(F.col("dom")).alias("s"))
+    return s.select("page_id", "s.html_lang", "s.chars", "s.non_ascii", "s.paragraphs")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'Service::true,Organization:url:false,Offer::true' WHEN 1 THEN 'Thing::true' WHEN 2 THEN 'Person::true,Article:headline+author:false' WHEN 3 THEN 'FAQPage::true' WHEN 4 THEN 'Dataset::true' WHEN 5 THEN 'WebPage::true' ELSE '' END AS checks FROM part""")
+def page_schema_checks(spark, sf_dir):
+    checks = page_types.schema_checks(entity_graph(F.col("jsonld")))
+    shown = F.transform(checks, lambda c: F.concat_ws(":", c["type"], F.array_join(c["missing"], "+"), c["valid"].cast("string")))
+    return typed_pages(spark, sf_dir).select("p_partkey", F.array_join(shown, ",").alias("checks"))
+
+
+@query("""WITH p AS (SELECT page_id, 25 AS metadata, coalesce(html, '') AS h FROM pages) SELECT page_id, CAST(CASE WHEN regexp_matches(h, '<title>[^<]*[^<\\s]') THEN 25 ELSE 0 END AS DOUBLE) AS metadata, CAST(0 AS DOUBLE) AS structured_data,
+CAST(CASE WHEN regexp_matches(h, '<title>[^<]*[^<\\s]') THEN 2.5 ELSE 0 END AS DOUBLE) AS overall FROM p WHERE NOT regexp_matches(h, 'ld\\+json|rel="?canonical|name="?description|hreflang')
+UNION ALL SELECT page_id, NULL, NULL, NULL FROM p WHERE regexp_matches(h, 'ld\\+json|rel="?canonical|name="?description|hreflang')""")
+def page_record_scores(spark, sf_dir):
+    p = page_signals(table(spark, sf_dir, "pages"))
+    described = F.try_element_at(F.try_element_at("metas", F.lit("description")), F.lit(1))
+    entities = F.size(entity_graph(F.col("jsonld")))
+    score = pages.record_scores(F.col("title"), described, F.col("canonical"), F.size("hreflangs"), F.size("jsonld"), entities, entities < 0, entities < 0)
+    return p.select("page_id", score.alias("s")).select("page_id", "s.metadata", "s.structured_data", "s.overall")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, lower(trim(text)) AS t, list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x <> '') AS w FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(t) BETWEEN 3 AND 40 AND len(w) <= 5 AND NOT contains(t, ' - ') AND NOT contains(t, ' | ') AND NOT regexp_matches(t, '\\.(com|net|org)$') THEN t END AS keyword FROM c""")
+def heading_keywords(spark, sf_dir):
+    """Turns as headings: those that look like a keyword."""
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", pages.chosen_keyword(none, none, none, F.col("text")).alias("keyword"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -19,7 +21,19 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def drop(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _drop_at_end(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        drop(spark, path)
+
+
 def saved(df: DataFrame, folder: str | None = None) -> DataFrame:
     path = f"{folder or shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_drop_at_end, df.sparkSession, path)  # lazy results may read the table as long as the driver lives
     return df.sparkSession.read.schema(df.schema).parquet(path)
