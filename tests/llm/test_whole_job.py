@@ -2,13 +2,11 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.llm.decontaminate import find_leaks
 from sitegauge.llm.mixing import TARGETS, mix_to_targets, quality_domains
 from sitegauge.llm.secrets import redact_secrets, scan_secrets
-from sitegauge.operators.graph import click_depths
 
 
 def test_held_out_posteriors(spark):
@@ -42,16 +40,6 @@ def test_secrets_of_each_form(spark):
     assert [got[i] for i in range(len(SECRETS), len(texts))] == OTHERS
 
 
-def test_click_depth_has_no_silent_end(spark, tmp_path):
-    nodes = spark.range(41).select(F.col("id").cast("string").alias("key"))
-    links = spark.range(40).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"))
-    root = spark.createDataFrame([("0",)], "key string")
-    with pytest.raises(ValueError):
-        click_depths(nodes, links, root, str(tmp_path), limit=2)
-    got = click_depths(nodes, links, root, str(tmp_path)).collect()
-    assert sorted(int(r["key"]) for r in got) == list(range(41)) and all(int(r["key"]) == r["click_depth"] for r in got)
-
-
 def test_whole_copies_among_many_passages(spark):
     """2,000 passages of 1 to 64 words, each copied whole between known words: none is lost."""
     rng = random.Random(3)
