@@ -33,11 +33,11 @@ def gets_screenshot(url: Column) -> Column:
 
 
 def loose_length(value: Column) -> Column:
-    """The length of a JSON list, the whole part of a number or of a text that is a whole number; 0 for all else."""
+    """The length of a JSON list, the whole part of a number or of a text that is a whole number (long); 0 for all else, numbers beyond 64 bits included."""
     v = F.trim(F.coalesce(value, F.lit("")))
     inner = F.trim(F.get_json_object(F.concat(F.lit('{"v":'), F.when(v.startswith('"'), v), F.lit("}")), "$.v"))
-    number = F.when(v.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), v.try_cast("double").cast("int")).when(inner.rlike(r"^[+-]?\d+$"), inner.try_cast("int"))
-    return F.coalesce(F.when(v.startswith("["), F.json_array_length(v)), number, F.lit(0))
+    number = F.when(v.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), v.try_cast("double").try_cast("bigint")).when(inner.rlike(r"^[+-]?\d+$"), inner.try_cast("bigint"))
+    return F.coalesce(F.when(v.startswith("["), F.json_array_length(v).cast("bigint")), number, F.lit(0).cast("bigint"))
 
 
 def record_scores(title: Column, description: Column, canonical: Column, alternates: Column, blocks: Column, entities: Column, crumbs: Column, questions: Column, **others: Column) -> Column:
