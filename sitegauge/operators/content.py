@@ -34,9 +34,10 @@ MARKS = {"unmeasured": Mark(UNMEASURED), "removed": Mark(REMOVED), "noise": Mark
          "vocab": Mark(("[vocab]", "[prefix]")), "figure": Mark(("figure",)), "frame": Mark(("header", "footer")), "bar": Mark(("header", "nav"))}
 
 
-def with_dom(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with dom, carrying the marks that this module reads."""
-    return parse_dom(pages, MARKS, {"content": CONTENT}, html)
+def with_dom(pages: DataFrame, *marks: str, html: str = "html") -> DataFrame:
+    """pages with dom, carrying the marks that this module reads, or only those named (content: the ranks of its selectors)."""
+    wanted = marks or (*MARKS, "content")
+    return parse_dom(pages, {n: m for n, m in MARKS.items() if n in wanted}, {"content": CONTENT} if "content" in wanted else {}, html)
 
 
 def _first(values: Column) -> Column:

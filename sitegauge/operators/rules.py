@@ -10,7 +10,10 @@ that holds, or one for each item (link, image, entity, violation) it finds.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,15 +44,37 @@ RATED_WORDS = "what agencies say|testimonials|customer reviews|client testimonia
 AUTHOR_IMAGE, QUOTE_IMAGE = "author|avatar|profile|bio|headshot", "testimonial|jennifer|mike|sarah|david|emily|client"
 EXPERIENCE = ("we tested|our study|we found|our research|we analyzed|case study|test results|our data|we measured|experiment|we conducted|our team|in our testing|based on our|our results|our analysis|"
               "our investigation|we surveyed|we worked with|our clients|we helped|we achieved").split("|")
-MEASURED = (r"\d+(?:\.\d+)?%\s+(?:increase|decrease|improvement|reduction|growth)", r"\$?\d+(?:,\d{3})*(?:\.\d+)?\s+(?:revenue|sales|profit|income|savings)", r"\d+(?:,\d{3})*\s+(?:customers|clients|users|leads|conversions)",
-            r"\d+\s+(?:years?|months?|weeks?)\s+of\s+experience", r"from\s+\d+\s+to\s+\d+", r"\d+x\s+(?:return|roi|growth)")
-STUDIES = (r"case study[:\s]*[^.!?]*[.!?]", r"client[:\s]*[^.!?]*result[:\s]*[^.!?]*[.!?]", r"project[:\s]*[^.!?]*outcome[:\s]*[^.!?]*[.!?]", r"test[:\s]*[^.!?]*result[:\s]*[^.!?]*[.!?]", r"experiment[:\s]*[^.!?]*show[:\s]*[^.!?]*[.!?]")
+MEASURED = {r"\d+(?:\.\d+)?%\s+(?:increase|decrease|improvement|reduction|growth)": "%", r"\$?\d+(?:,\d{3})*(?:\.\d+)?\s+(?:revenue|sales|profit|income|savings)": "revenue|sales|profit|income|savings",
+            r"\d+(?:,\d{3})*\s+(?:customers|clients|users|leads|conversions)": "customers|clients|users|leads|conversions", r"\d+\s+(?:years?|months?|weeks?)\s+of\s+experience": "experience", r"from\s+\d+\s+to\s+\d+": "from",
+            r"\d+x\s+(?:return|roi|growth)": "return|roi|growth"}
+STUDIES = {r"case study[:\s]*[^.!?]*[.!?]": "case study", r"client[:\s]*[^.!?]*result[:\s]*[^.!?]*[.!?]": "client", r"project[:\s]*[^.!?]*outcome[:\s]*[^.!?]*[.!?]": "outcome", r"test[:\s]*[^.!?]*result[:\s]*[^.!?]*[.!?]": "result",
+           r"experiment[:\s]*[^.!?]*show[:\s]*[^.!?]*[.!?]": "experiment"}
 FRESH_WORDS = "updated|published|reviewed|revised|posted|modified"
 ABOUT_PARTS = ("team", "story", "founded", "mission", "since", "year")
 
 EMPTY_TEXTS = "array<string>"
 
 
+def mentions(text: Column, words: str) -> Column:
+    """Whether a text holds one of the words (a|b|c), found by plain search; a pattern with more than words is matched as it is."""
+    if re.search(r"[\\.\[\](){}*+?^$]", words):
+        return text.rlike(words)
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words.split("|")])
+
+
+def counted(text: Column, pattern: str, need: str) -> Column:
+    """Matches of a pattern, looked for only in texts that hold a word of need."""
+    return F.when(mentions(text, need), F.regexp_count(text, F.lit(pattern))).otherwise(0)
+
+
+def firsthand(body: Column, text: Column) -> Column:
+    """Points of first-hand evidence in a text: phrases, figures, studies, quoted people, screenshots; null for a null text.  body: the text in small letters."""
+    figures = sum((counted(body, p, need) for p, need in MEASURED.items()), F.lit(0))
+    studies = sum((counted(body, p, need) for p, need in STUDIES.items()), F.lit(0))
+    people = counted(text, r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\s+(?:said|reported|experienced|achieved)", "said|reported|experienced|achieved")
+    return F.when(text.isNotNull(), F.size(F.filter(F.lit(EXPERIENCE), lambda w: F.contains(body, w))) * 0.2 + figures * 0.3 + studies * 0.4 + people * 0.5 + F.when(body.contains("screenshot"), 0.3).otherwise(0.0))
+
+
 def schema_types(blocks: Column) -> Column:
     """The @type names in JSON-LD blocks, single or listed, at any depth."""
     one = lambda b: F.concat(F.regexp_extract_all(b, F.lit(r'"@type"\s*:\s*"([^"]+)"'), F.lit(1)),
@@ -65,7 +90,7 @@ def with_rule_columns(pages: DataFrame) -> DataFrame:
     body = F.lower(F.coalesce(F.col("text"), F.lit("")))
     return pages.withColumns(missing).withColumns({
         "h1s": F.transform(level(1), lambda h: h["text"]), "description": F.trim(first_meta("description")), "robots": F.lower(first_meta("robots")),
-        "types": schema_types(F.col("jsonld")), "graph": F.filter(F.transform(nodes(F.col("jsonld")), lambda n: F.from_json(n, "map<string, string>")), lambda m: m.isNotNull()), "body": body, "page_type": page_type(F.col("url"), F.col("text")), "homepage": is_homepage(F.col("url")),
+        "types": schema_types(F.col("jsonld")), "graph": F.filter(F.transform(nodes(F.col("jsonld")), lambda n: F.from_json(n, "map<string, string>")), lambda m: m.isNotNull()), "body": body, "firsthand": firsthand(body, F.col("text")), "page_type": page_type(F.col("url"), F.col("text")), "homepage": is_homepage(F.col("url")),
         "jump": F.exists(F.arrays_zip(F.slice("headings", 1, F.greatest(F.size("headings") - 1, F.lit(0))).alias("a"), F.slice("headings", 2, F.greatest(F.size("headings") - 1, F.lit(0))).alias("b")),
                          lambda z: z["b"]["level"] - z["a"]["level"] > 1),
     })
@@ -161,7 +186,7 @@ def site_rules() -> list[Rule]:
     c = F.col
     ratio, density, url, body, g = c("html_ratio"), c("keyword_density"), c("url"), c("body"), c("graph")
     images = lambda f: F.transform(F.filter("images", f), lambda i: i["src"])
-    faq = body.rlike("faq|question|answer|frequently asked|what is|how to|why do") | F.exists("headings", lambda h: F.lower(h["text"]).rlike("faq|questions|frequently asked"))
+    faq = mentions(body, "faq|question|answer|frequently asked|what is|how to|why do") | F.exists("headings", lambda h: F.lower(h["text"]).rlike("faq|questions|frequently asked"))
     share = ("og:title", "og:description", "og:image", "og:url")
     card = ("twitter:card", "twitter:title", "twitter:description", "twitter:image")
     blank = F.exists(F.array(*[F.lit(k) for k in share]), lambda k: F.trim(F.coalesce(F.try_element_at(F.try_element_at("metas", k), F.lit(1)), F.lit(""))) == "")
@@ -177,10 +202,10 @@ def site_rules() -> list[Rule]:
     kind = eeat_page_type(url, c("text"), h1)
     fits = schema_fits(kind, c("types"))
     # articles: there, of a type that fits the page, with dates and headline, and dated for readers where the page is one to read
-    article_fails = ~(article.isNotNull() & fits & (F.size(lacks(article, "datePublished", "dateModified", "headline")) == 0)) | (kind.isin("blog", "general") & ~body.rlike("published|updated|date:|posted on|last updated"))
+    article_fails = ~(article.isNotNull() & fits & (F.size(lacks(article, "datePublished", "dateModified", "headline")) == 0)) | (kind.isin("blog", "general") & ~mentions(body, "published|updated|date:|posted on|last updated"))
     # breadcrumbs: there, seen, with items, with items that are named and linked; three of these (the fifth check) are enough
     crumb = F.from_json(crumbs["itemListElement"], "array<struct<`@type`: string, name: string, item: string>>")
-    crumb_checks = count(crumbs.isNotNull(), body.rlike("breadcrumb|nav"), F.size(crumb) > 0, F.exists(crumb, lambda i: (i["@type"] == "ListItem") & has(i["name"]) & has(i["item"])))
+    crumb_checks = count(crumbs.isNotNull(), mentions(body, "breadcrumb|nav"), F.size(crumb) > 0, F.exists(crumb, lambda i: (i["@type"] == "ListItem") & has(i["name"]) & has(i["item"])))
     # profiles of organizations: some, two, two social ones, none of the site itself, and three of these
     profiles = F.filter(F.transform(of("Organization", "LocalBusiness"), lambda e: listed(e["sameAs"])), lambda p: F.size(p) >= 0)
     social = lambda p: F.size(F.filter(p, lambda x: F.lower(x).rlike(SOCIAL_SITES))) >= 2
@@ -188,20 +213,19 @@ def site_rules() -> list[Rule]:
     poor = lambda p: count(F.size(p) > 0, F.size(p) >= 2, social(p), ~own(p)) < 3
     bad_profiles = F.transform(F.filter(profiles, poor), lambda p: F.concat(F.size(p).cast("string"), F.lit(" profiles")))
     author = F.coalesce(F.nullif(F.try_element_at(F.try_element_at("metas", F.lit("author")), F.lit(1)), F.lit("")), F.from_json(F.try_element_at(F.filter(g, lambda e: has(e["author"])), F.lit(1))["author"], "struct<name: string>")["name"], person["name"])
-    seen = F.coalesce("visible_author", F.lit(False)) | body.rlike(BYLINE)
-    author_fails = ~(author.isNotNull() & seen & is_human_author(author) & body.rlike(BIO_WORDS) & body.rlike(BIO_TEXT))
+    seen = F.coalesce("visible_author", F.lit(False)) | mentions(body, BYLINE)
+    author_fails = ~(author.isNotNull() & seen & is_human_author(author) & mentions(body, BIO_WORDS) & mentions(body, BIO_TEXT))
     portrait = lambda i: F.concat_ws(" ", F.lower(i["alt"]), F.lower(i["src"]))
     authors = F.filter("images", lambda i: portrait(i).rlike(AUTHOR_IMAGE) & ~portrait(i).rlike(QUOTE_IMAGE))
     quotes = F.filter("images", lambda i: portrait(i).rlike(QUOTE_IMAGE))
     missing = F.filter(F.lit(list(ABOUT_PARTS)), lambda w: ~F.contains(body, w))
-    evidence = (F.size(F.filter(F.lit(EXPERIENCE), lambda w: F.contains(body, w))) * 0.2 + sum((F.regexp_count(body, F.lit(p)) for p in MEASURED), F.lit(0)) * 0.3 + sum((F.regexp_count(body, F.lit(p)) for p in STUDIES), F.lit(0)) * 0.4
-                + F.regexp_count(c("text"), F.lit(r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\s+(?:said|reported|experienced|achieved)")) * 0.5 + F.when(body.contains("screenshot"), 0.3).otherwise(0.0))
+    evidence = c("firsthand")
     axe, pixels, alt = c("axe_violations"), F.length("title") * 8, F.coalesce(F.try_divide(F.aggregate("images", F.lit(0), lambda a, i: a + alt_score(i["alt"])), F.size("images")), F.lit(100.0))
     marked = lambda pattern: F.transform(F.filter(axe, lambda v: F.lower(F.concat_ws(" ", v["id"], v["description"])).rlike(pattern)), lambda v: v["id"])
     inside = lambda a: host(resolve_link(url, a["href"])) == host(url)
     nofollow = F.transform(F.filter("anchors", lambda a: inside(a) & F.lower(a["rel"]).contains("nofollow") & ~F.lower(a["href"]).rlike("login|admin|legal|privacy|terms")), lambda a: a["href"])
     forms = (c("forms") > 0) & (c("inputs") > 0)
-    helped = F.coalesce("has_custom_404", F.lit(False)) | F.coalesce("has_nav", F.lit(False)) | body.rlike("home|homepage|back to home")
+    helped = F.coalesce("has_custom_404", F.lit(False)) | F.coalesce("has_nav", F.lit(False)) | mentions(body, "home|homepage|back to home")
     desktop, mobile = pixels > 500, pixels > 400
     return [
         Rule("broken_links", 1, "Internal Pages", "high", c("broken_links_count") > 0, "Broken links", c("broken_links_count")),
@@ -252,20 +276,20 @@ def site_rules() -> list[Rule]:
                                                                            (org.isNotNull() & (F.size(lacks(org, "logo", "sameAs", "address")) > 0), "high", "Organization markup is incomplete", F.array_join(lacks(org, "logo", "sameAs", "address"), ", ")))),
         Rule("article_schema", 97, "Schema", "high", article_fails, "Article markup is missing, incomplete or does not fit the page", kind),
         Rule("breadcrumblist_schema", 98, "Schema", "medium", None, "", cases=((crumbs.isNull(), "medium", "No breadcrumb markup", None), (crumbs.isNotNull() & (crumb_checks < 3), "medium", "Breadcrumb markup is incomplete", crumb_checks))),
-        Rule("product_schema", 99, "Schema", "medium", None, "", cases=((body.rlike("price|buy|cart|product|shop") & product.isNull(), "medium", "Product page without product markup", None), (body.rlike("price|buy|cart|product|shop") & product.isNotNull() & ~has(product["offers"]), "medium", "Product markup without offers", None))),
-        Rule("aggregate_rating_schema", 100, "Schema", "high", (body.rlike(RATED_WORDS) | F.exists("headings", lambda h: h["level"] == 4)) & ~F.exists(g, lambda e: (e["@type"] == "AggregateRating") | e["aggregateRating"].isNotNull()), "Ratings without markup"),
+        Rule("product_schema", 99, "Schema", "medium", None, "", cases=((mentions(body, "price|buy|cart|product|shop") & product.isNull(), "medium", "Product page without product markup", None), (mentions(body, "price|buy|cart|product|shop") & product.isNotNull() & ~has(product["offers"]), "medium", "Product markup without offers", None))),
+        Rule("aggregate_rating_schema", 100, "Schema", "high", (mentions(body, RATED_WORDS) | F.exists("headings", lambda h: h["level"] == 4)) & ~F.exists(g, lambda e: (e["@type"] == "AggregateRating") | e["aggregateRating"].isNotNull()), "Ratings without markup"),
         Rule("sameas_array", 101, "Schema", "high", None, "Organization with too few profiles", each=bad_profiles),
         Rule("deprecated_schema_types", 102, "Schema", "high", None, "Deprecated markup type", each=F.filter("types", lambda t: t.isin("Blog", "Recipe"))),
         Rule("duplicate_schema_formats", 103, "Schema", "medium", F.arrays_overlap("types", "microdata_types"), "One type in two formats", F.array_join(F.array_intersect("types", "microdata_types"), ", ")),
         Rule("author_name_bio", 104, "EEAT", "high", author_fails, "No named author with a biography", author, ("contact", "privacy", "terms", "login")),
-        Rule("author_photo", 105, "EEAT", "medium", None, "", cases=((body.rlike(BYLINE) & (F.size(authors) == 0) & (F.size(quotes) > 0), "medium", "Author without photo, testimonials with photos", F.size(quotes)), (body.rlike(BYLINE) & (F.size(authors) == 0) & (F.size(quotes) == 0), "medium", "Author without photo", None))),
+        Rule("author_photo", 105, "EEAT", "medium", None, "", cases=((mentions(body, BYLINE) & (F.size(authors) == 0) & (F.size(quotes) > 0), "medium", "Author without photo, testimonials with photos", F.size(quotes)), (mentions(body, BYLINE) & (F.size(authors) == 0) & (F.size(quotes) == 0), "medium", "Author without photo", None))),
         Rule("person_schema_linked", 106, "EEAT", "high", None, "", cases=(
             (person.isNotNull() & ~is_human_author(person["name"]), "high", "Person with a name that is no person's", person["name"]), (person.isNotNull() & ~F.exists(of("Person"), lambda e: has(e["worksFor"])), "high", "Person not linked to an organization", person["name"]),
             (person.isNotNull() & ~has(person["sameAs"]) & ~has(person["url"]), "high", "Person without profile", person["name"]), (person.isNotNull() & ~has(person["jobTitle"]) & ~has(person["description"]), "high", "Person without role", person["name"]))),
         Rule("about_page", 107, "EEAT", "high", None, "", cases=((F.lower(url).contains("about") & (c("word_count") < 300), "high", "Short about page", c("word_count")), (F.lower(url).contains("about") & (F.size(missing) > 3), "high", "About page lacks its parts", F.array_join(missing, ", ")))),
         Rule("privacy_terms_pages", 108, "EEAT", "high", None, "", cases=((main & ~reached.contains("privacy"), "high", "No link to a privacy policy", None), (main & ~reached.contains("terms"), "high", "No link to terms of service", None))),
         Rule("firsthand_experience", 109, "EEAT", "high", evidence < 1.0, "Little first-hand evidence", evidence, ("contact", "privacy", "terms", "login")),
-        Rule("content_freshness", 110, "EEAT", "medium", ~(body.rlike(FRESH_WORDS) & (F.size(dates(c("text"))) > 0) & has_dated_note(c("text"))), "No date of update"),
+        Rule("content_freshness", 110, "EEAT", "medium", ~(mentions(body, FRESH_WORDS) & (F.size(dates(c("text"))) > 0) & has_dated_note(c("text"))), "No date of update"),
         Rule("text_contrast", 112, "Accessibility", "high", F.exists(axe, lambda v: F.lower(v["id"]).contains("color-contrast")), "Text lacks contrast"),
         Rule("form_inputs_labels", 113, "Accessibility", "high", None, "", cases=((forms & (F.size(marked("label|form")) > 0), "high", "Form inputs lack labels", F.array_join(marked("label|form"), ", ")), (forms & ~F.coalesce(F.size(marked("label|form")) > 0, F.lit(False)), "high", "Form inputs need a review", c("inputs")))),
         Rule("keyboard_accessibility", 114, "Accessibility", "high", None, "", cases=((c("focus_trap"), "high", "Keyboard focus is trapped", None), (c("unreachable_elements") > 0, "high", "Elements that no key reaches", c("unreachable_elements")), (c("missing_focus_outline") > 0, "high", "Focus can't be seen", c("missing_focus_outline")))),

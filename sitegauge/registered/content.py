@@ -19,7 +19,7 @@ STRINGS = r"list_filter(list_transform(string_split(regexp_replace({0}, '(?s)<(s
 {STRINGS(r"regexp_replace(regexp_extract(h, '(?s)<body>(.*)</body>', 1), '(?s)<(nav|footer)>.*?</(?:nav|footer)>', '', 'g')")} AS body FROM p)
 SELECT page_id, CASE WHEN length(array_to_string(article, '')) > 100 THEN 'article' ELSE 'body' END AS selector, left(array_to_string(CASE WHEN length(array_to_string(article, '')) > 100 THEN article ELSE body END, ' '), 5000) AS text FROM a""")
 def page_main_content(spark, sf_dir):
-    return content.with_dom(table(spark, sf_dir, "pages")).select("page_id", content.main_content(F.col("dom")).alias("m")).select("page_id", "m.selector", "m.text")
+    return content.with_dom(table(spark, sf_dir, "pages"), "unmeasured", "removed", "content").select("page_id", content.main_content(F.col("dom")).alias("m")).select("page_id", "m.selector", "m.text")
 
 
 @query(rf"""WITH p AS (SELECT page_id, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages), b AS (SELECT page_id, {STRINGS("h")} AS s, string_split(h, '<b>') AS parts FROM p),
@@ -27,7 +27,7 @@ k AS (SELECT page_id, s, parts, coalesce(list_filter(range(2, len(parts) + 1), l
 SELECT page_id, 'article' AS container, CAST(length(array_to_string(s, '')) AS INTEGER) AS chars, CASE WHEN length(array_to_string(s, '')) < 30 THEN '' ELSE array_to_string({STRINGS("array_to_string(parts[1:k - 1], '<b>')")}, ' ') END AS text FROM k""")
 def page_clean_content(spark, sf_dir):
     """Articles hold headings, paragraphs and bold elements that are never closed: the last ones go where they have under 30 characters."""
-    return content.with_dom(table(spark, sf_dir, "pages")).select("page_id", content.clean_content(F.col("dom")).alias("c")).select("page_id", "c.container", "c.chars", "c.text")
+    return content.with_dom(table(spark, sf_dir, "pages"), "noise").select("page_id", content.clean_content(F.col("dom")).alias("c")).select("page_id", "c.container", "c.chars", "c.text")
 
 
 @query(r"""WITH o AS (SELECT o_custkey, CAST(left(o_orderpriority, 1) AS INTEGER) AS level, o_orderstatus AS text, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS place FROM orders),
@@ -46,7 +46,7 @@ floor(len(regexp_extract_all(regexp_replace(h, '(?s)<!--.*?-->|(<script)>.*?</sc
 SELECT page_id, CAST(CASE WHEN ok THEN 3 ELSE 0 END AS INTEGER) AS way, array_to_string(CASE WHEN ok THEN names ELSE [] END, '|') AS names, array_to_string(CASE WHEN ok THEN links ELSE [] END, '|') AS links FROM (SELECT *, len(list_distinct(links)) >= 2 AND position <= top AS ok FROM l)""")
 def page_trails(spark, sf_dir):
     """The crawled pages have no labelled breadcrumbs: their first list of links counts where it stands early enough."""
-    out = content.with_dom(table(spark, sf_dir, "pages")).select("page_id", content.dom_trail(F.col("dom")).alias("t"))
+    out = content.with_dom(table(spark, sf_dir, "pages"), "frame").select("page_id", content.dom_trail(F.col("dom")).alias("t"))
     return out.select("page_id", "t.way", F.array_join("t.names", "|").alias("names"), F.array_join("t.links", "|").alias("links"))
 
 
@@ -134,7 +134,7 @@ array_to_string({STRINGS(r"regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1)")}, '') AS
 SELECT page_id, CAST(blocks AS INTEGER) AS blocks, CAST(floor(blocks * 0.3) AS INTEGER) AS top, CAST(len(li[1:10]) AS INTEGER) AS items, array_to_string(list_transform(li[1:3], lambda x: left(x, 50)), '|') AS shown,
 CASE WHEN regexp_matches(lower(h1), '\?$|^(who|what|when|where|why|how|is|are|can|should|will) ') THEN h1 ELSE '' END AS questions FROM c""")
 def page_snippets(spark, sf_dir):
-    s = content.with_dom(table(spark, sf_dir, "pages")).select("page_id", content.snippet_signals(F.col("dom")).alias("s"))
+    s = content.with_dom(table(spark, sf_dir, "pages"), "frame").select("page_id", content.snippet_signals(F.col("dom")).alias("s"))
     first = F.try_element_at(F.col("s.lists"), F.lit(1))
     return s.select("page_id", "s.blocks", "s.top", first["items"].alias("items"), F.array_join(first["shown"], "|").alias("shown"), F.array_join(F.transform("s.questions", lambda q: q["text"]), "|").alias("questions"))
 
@@ -142,7 +142,7 @@ def page_snippets(spark, sf_dir):
 @query(rf"""WITH t AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS html_lang, array_to_string({STRINGS("html")}, ' ') AS t, len(regexp_extract_all(regexp_replace(html, '(?s)<(script|style)\b.*?</(?:script|style)>', '', 'g'), '<p>')) AS paragraphs FROM pages)
 SELECT page_id, html_lang, CAST(length(t) AS INTEGER) AS chars, CAST(length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) AS INTEGER) AS non_ascii, CAST(paragraphs AS INTEGER) AS paragraphs FROM t""")
 def page_language_signals(spark, sf_dir):
-    s = content.with_dom(table(spark, sf_dir, "pages")).select("page_id", content.language_signals(F.col("dom")).alias("s"))
+    s = content.with_dom(table(spark, sf_dir, "pages"), "frame").select("page_id", content.language_signals(F.col("dom")).alias("s"))
     return s.select("page_id", "s.html_lang", "s.chars", "s.non_ascii", "s.paragraphs")
 
 

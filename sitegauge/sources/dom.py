@@ -75,6 +75,7 @@ class Selectors:
 
     def __init__(self, texts: tuple[str, ...]):
         self.keyed: dict[str, list[tuple[int, list[_Step]]]] = {}
+        self.bare: dict[str, int | None] = {}  # by tag: what selects an element without attributes
         for order, text in enumerate(texts):
             steps = [_Step(s) for s in re.split(r"\s+(?![^\[]*\])", text)]
             last = steps[-1]
@@ -83,10 +84,15 @@ class Selectors:
 
     def first(self, tree: _Tree, k: int) -> int | None:
         """The first selector that selects node k."""
-        attrs = tree.attrs[k]
-        keys = [tree.tag[k], "*"]
+        attrs, tag = tree.attrs[k], tree.tag[k]
+        if not attrs and tag in self.bare:
+            return self.bare[tag]
+        keys = [tag, "*"]
         if attrs:
             keys += ["#" + attrs.get("id", ""), *["." + c for c in attrs.get("class", "").split()]]
+        elif not any(len(steps) > 1 for key in keys for _, steps in self.keyed.get(key, ())):
+            self.bare[tag] = min((order for key in keys for order, steps in self.keyed.get(key, ()) if steps[-1].fits(tag, attrs)), default=None)
+            return self.bare[tag]
         found = [order for key in keys for order, steps in self.keyed.get(key, ()) if steps[-1].fits(tree.tag[k], attrs) and self._below(tree, k, steps[:-1])]
         return min(found, default=None)
 
@@ -112,6 +118,7 @@ class _Tree(HTMLParser):
         self.open: list[int] = []
         self.count: Counter[str] = Counter()
         self.pending: list[str] = []
+        self.own: list[int] = []
         self.feed(html)
         self.close()
         self._flush()
@@ -124,6 +131,7 @@ class _Tree(HTMLParser):
         self.last.append(len(self.tag) - 1)
         self.attrs.append(attrs)
         self.text.append(text)
+        self.own.append(len(text.strip()) if tag == TEXT else 0)
         return len(self.tag) - 1
 
     def _flush(self) -> None:
@@ -157,17 +165,22 @@ class _Tree(HTMLParser):
     def handle_data(self, data):
         self.pending.append(data)
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
     def handle_comment(self, data):
         self._flush()  # texts on both sides of a comment stay apart
 
     def chars(self, marked: list[bool] | None = None) -> list[int]:
         """Characters of stripped texts in each subtree, without those in marked elements."""
-        out = [len(t.strip()) if g == TEXT else 0 for g, t in zip(self.tag, self.text, strict=True)]
-        for k in range(len(out) - 1, -1, -1):
+        out, parent = self.own.copy(), self.parent
+        for k in range(len(out) - 1, 0, -1):
             if marked and marked[k]:
                 out[k] = 0
-            if self.parent[k] >= 0:
-                out[self.parent[k]] += out[k]
+            elif out[k] and parent[k] >= 0:
+                out[parent[k]] += out[k]
+        if out and marked and marked[0]:
+            out[0] = 0
         return out
 
     def nearest(self, marked: list[bool]) -> list[int]:
@@ -189,17 +202,26 @@ def _columns(tree: _Tree, marks: dict[str, tuple], ranks: dict[str, Selectors])
     for tag in tree.tag:
         before.append(elements)
         elements += tag[0] != "#"
-    out = {"tag": tree.tag, "parent": tree.parent, "last": tree.last, "element": before, "id": [a.get("id") for a in tree.attrs], "classes": [a.get("class", "").split() for a in tree.attrs],
-           "attrs": [list(a.items()) for a in tree.attrs], "text": tree.text, "chars": tree.chars()}
+    none: list = []
+    out = {"tag": tree.tag, "parent": tree.parent, "last": tree.last, "element": before, "id": [a.get("id") if a else None for a in tree.attrs], "classes": [a["class"].split() if "class" in a else none for a in tree.attrs],
+           "attrs": [list(a.items()) if a else none for a in tree.attrs], "text": tree.text, "chars": tree.chars()}
+    elements_at = [k for k, tag in enumerate(tree.tag) if tag[0] != "#"]
     for name, (mark, selectors, pattern) in marks.items():
-        marked = [g[0] != "#" and (selectors.first(tree, k) is not None or bool(pattern and a and pattern.search(f"{a.get('class', '')} {a.get('id', '')}"))) for k, (g, a) in enumerate(zip(tree.tag, tree.attrs, strict=True))]
-        out[f"{name}_chars"] = kept = tree.chars(marked)
+        marked = [False] * len(tree.tag)
+        for k in elements_at:
+            a = tree.attrs[k]
+            marked[k] = selectors.first(tree, k) is not None or bool(pattern and a and pattern.search(f"{a.get('class', '')} {a.get('id', '')}"))
+        # without a marked element nothing is left out
+        out[f"{name}_chars"] = kept = tree.chars(marked) if True in marked else out["chars"]
         if mark.short:
             n, tags = mark.short
             marked = [m or g[0] != "#" and c < n and g not in tags for m, g, c in zip(marked, tree.tag, kept, strict=True)]
-        out[f"{name}_at"] = tree.nearest(marked)
+        out[f"{name}_at"] = tree.nearest(marked) if True in marked else [-1] * len(marked)
     for name, selectors in ranks.items():
-        out[f"{name}_rank"] = [selectors.first(tree, k) if g[0] != "#" else None for k, g in enumerate(tree.tag)]
+        found: list[int | None] = [None] * len(tree.tag)
+        for k in elements_at:
+            found[k] = selectors.first(tree, k)
+        out[f"{name}_rank"] = found
     return out
 
 
