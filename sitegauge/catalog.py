@@ -268,11 +268,13 @@ def legacy_page_scores(spark, sf_dir):
     return out.select("page_id", "url", *[scores.round2(F.col(c)).alias(c) for c in out.columns[2:]])
 
 
-@query(rf"""WITH p0 AS (SELECT page_id, url, html, {VISIBLE} AS v FROM pages), p AS (SELECT page_id, html, {_stripped("v")} AS body, regexp_extract_all(v, '(?is)<a\b[^>]*>(.*?)</a\s*>', 1) AS a, regexp_extract_all(v, '(?is)<p\b[^>]*>(.*?)</p\s*>', 1) AS ps FROM p0),
-q AS (SELECT page_id, strlen(coalesce(html, '')) AS hb, strlen(body) AS tb, list_transform(a, lambda t: {_stripped("t")}) AS texts, list_filter(list_transform(ps, lambda t: {_stripped("t")}), lambda t: t <> '') AS paras FROM p)
+@query(rf"""WITH p0 AS (SELECT page_id, url, html, {VISIBLE} AS v FROM pages), p AS (SELECT page_id, url, html, v, {_stripped("v")} AS body, regexp_extract_all(v, '(?is)<a\b[^>]*>(.*?)</a\s*>', 1) AS a, regexp_extract_all(v, '(?is)<p\b[^>]*>(.*?)</p\s*>', 1) AS ps FROM p0),
+q AS (SELECT page_id, url, html, v, strlen(coalesce(html, '')) AS hb, strlen(body) AS tb, list_transform(a, lambda t: {_stripped("t")}) AS texts, list_filter(list_transform(ps, lambda t: {_stripped("t")}), lambda t: t <> '') AS paras FROM p)
 SELECT page_id, CAST(hb AS INTEGER) AS html_bytes, CAST(tb AS INTEGER) AS text_bytes, CAST(floor(tb * 100 / hb * 100 + 0.5) / 100 AS DOUBLE) AS html_ratio, CAST(len(texts) AS INTEGER) AS n_anchors, CAST(len(paras) AS INTEGER) AS n_paragraphs,
 CAST(floor(coalesce(len(list_filter(texts, lambda t: length(t) < 3 OR regexp_matches(lower(t), 'click here|read more|learn more|here|more|link|page|website|site|url|download'))) * 100 / nullif(len(texts), 0), 0) * 100 + 0.5) / 100 AS DOUBLE) AS generic_anchor_ratio,
-len(list_filter(texts, lambda t: t <> '')) >= 5 AND len(list_distinct(list_transform(list_filter(texts, lambda t: t <> ''), lambda t: lower(t)))) * 2 < len(list_filter(texts, lambda t: t <> '')) AS anchor_diversity_issue, false AS mixed_content, false AS iframe_wrapped FROM q""")
+len(list_filter(texts, lambda t: t <> '')) >= 5 AND len(list_distinct(list_transform(list_filter(texts, lambda t: t <> ''), lambda t: lower(t)))) * 2 < len(list_filter(texts, lambda t: t <> '')) AS anchor_diversity_issue,
+url LIKE 'https://%' AND regexp_matches(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g'), '(?i)<(?:(?:img|script|iframe|video|audio)\b[^>]*\ssrc|link\b[^>]*\shref)\s*=\s*["'']?http://') AS mixed_content,
+len(list_filter(regexp_extract_all(v, '(?is)<iframe\b[^>]*>'), lambda t: regexp_matches(lower(t), '\swidth\s*=\s*["'']?(100%|100vw|1000px|1200px|1920px)["''\s>]') AND regexp_matches(lower(t), '\sheight\s*=\s*["'']?(100%|100vh|800px|900px|1080px)["''\s>]'))) > 0 AS iframe_wrapped FROM q""")
 def page_signal_values(spark, sf_dir):
     out = page_signals(table(spark, sf_dir, "pages"))
     return out.select("page_id", "html_bytes", "text_bytes", scores.round2(F.col("html_ratio")).alias("html_ratio"), F.size("anchors").alias("n_anchors"), F.size("paragraphs").alias("n_paragraphs"),
@@ -280,7 +282,8 @@ def page_signal_values(spark, sf_dir):
 
 
 @query(rf"""WITH p AS (SELECT page_id, url, {VISIBLE} AS v FROM pages)
-SELECT page_id, url, {_stripped("regexp_extract(v, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, regexp_extract(v, '(?i)<html[^>]*\slang="([^"]*)"', 1) AS html_lang, '' AS canonical,
+SELECT page_id, url, {_stripped("regexp_extract(v, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, regexp_extract(v, '(?i)<html[^>]*\slang="([^"]*)"', 1) AS html_lang,
+coalesce(regexp_extract(list_filter(regexp_extract_all(v, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(lower(t), '\srel\s*=\s*["'']?canonical["''\s>]'))[1], '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1), '') AS canonical,
 CAST(len(regexp_extract_all(v, '(?i)<a\s[^>]*href=')) AS INTEGER) AS n_links, CAST(len(regexp_extract_all(v, '(?is)<h[1-6]\b')) AS INTEGER) AS n_headings, CAST(len(list_filter(string_split({_stripped("v")}, ' '), lambda w: w <> '')) AS INTEGER) AS word_count FROM p""")
 def html_features(spark, sf_dir):
     """Page features by the parser."""

@@ -34,7 +34,8 @@ def security_header_counts(spark, sf_dir):
 @query(rf"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages)
 SELECT page_id, {R2(f"len(regexp_extract_all(h, '(?i)<(?:{extracts.SEMANTIC})\\b')) * 100 / len(regexp_extract_all(h, '(?i)<[a-z]'))")} AS semantic_percent, md5(substring(regexp_extract(h, '(?is)<body\b[^>]*>(.*)</body\s*>', 1), 1, 5000)) AS fingerprint,
 CAST(10 + CASE WHEN regexp_matches(h, '(?i)<main\b') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(h, '(?i)<header\b') THEN 10 ELSE 0 END + CASE WHEN len(regexp_extract_all(h, '(?i)<(?:{extracts.SEMANTIC})\b')) * 100 / len(regexp_extract_all(h, '(?i)<[a-z]')) > 20 THEN 10 ELSE 0 END + 5 AS DOUBLE) AS technical_score,
-CAST(greatest(0, len(regexp_extract_all(h, '(?i)<(?:div|p|section|article|table|ul|ol)\b')) - len(regexp_extract_all(h, '(?i)</(?:div|p|section|article|table|ul|ol)\b'))) AS INTEGER) AS unclosed, CAST(0 AS INTEGER) AS blocking FROM p""".replace("\\\\b", "\\b"))
+CAST(greatest(0, len(regexp_extract_all(h, '(?i)<(?:div|p|section|article|table|ul|ol)\b')) - len(regexp_extract_all(h, '(?i)</(?:div|p|section|article|table|ul|ol)\b'))) AS INTEGER) AS unclosed, CAST(len(list_filter(regexp_extract_all(regexp_extract(h, '(?is)<head\b[^>]*>(.*?)</head\s*>', 1), '(?i)<script\b[^>]*\ssrc\s*=[^>]*>'), lambda t: NOT regexp_matches(t, '(?i)\s(?:async|defer)\b')))
++ len(list_filter(regexp_extract_all(regexp_extract(h, '(?is)<head\b[^>]*>(.*?)</head\s*>', 1), '(?i)<link\b[^>]*>'), lambda t: regexp_matches(lower(t), '\srel\s*=\s*["'']?[^"''>]*stylesheet') AND NOT regexp_matches(lower(t), 'preload|\smedia\s*=\s*["'']?print["''\s>]'))) AS INTEGER) AS blocking FROM p""".replace("\\\\b", "\\b"))
 def page_structure(spark, sf_dir):
     h = F.coalesce("html", F.lit(""))
     source = table(spark, sf_dir, "pages")
