@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitegauge.functions import scores, text, urls
 from sitegauge.operators import ai_rules, entities, graph, legacy_rules, rules, tables
 from sitegauge.plans import page_analysis
-from sitegauge.registered import content as _content, entities as _entities, extracts as _extracts, flows as _flows, keyed as _keyed, scans as _scans, sites as _sites, texts as _texts  # noqa: F401
+from sitegauge.registered import content as _content, entities as _entities, extracts as _extracts, flows as _flows, keyed as _keyed, presence as _presence, scans as _scans, sites as _sites, texts as _texts  # noqa: F401
 from sitegauge.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from sitegauge.sources.html import page_features, parse_pages
 from sitegauge.sources.scratch import saved, shared_folder
