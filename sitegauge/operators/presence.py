@@ -102,7 +102,8 @@ def settled(rows: DataFrame, block: tuple[str, ...], form: str, shown: str, with
     never all others.  Null or empty forms, and null block columns, are no evidence and are left out."""
     known = rows.select(*block, F.col(form).alias("form"), F.col(shown).alias("shown")).filter((F.col("form") != "")).dropna(subset=list(block))
     forms = known.groupBy(*block, "form").agg(F.count("*").alias("n"), F.min("shown").alias("shown"))
-    heads = forms.groupBy(*block).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("form").alias("majority"))).alias("h")).select(*block, F.col("h.majority").alias("majority"))
+    # the heads carry shown as well, so that both sides read the same columns and the forms are counted in one exchange
+    heads = forms.groupBy(*block).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("form").alias("majority"), "shown")).alias("h")).select(*block, F.col("h.majority").alias("majority"))
     out = forms.join(heads, list(block)).withColumn("d", F.levenshtein("form", "majority", within))
     return out.select(*block, "form", "n", "shown", "majority", F.when(F.col("d") >= 0, F.col("d")).alias("distance"), (F.col("d") >= 0).alias("agrees"))
 
