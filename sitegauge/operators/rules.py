@@ -87,10 +87,12 @@ def with_rule_columns(pages: DataFrame) -> DataFrame:
     missing = {n: F.lit(None).cast(t) for n, t in SIGNALS.items() if n not in pages.columns}
     level = lambda n: F.filter("headings", lambda h: (h["level"] == n) & (h["text"] != ""))
     first_meta = lambda k: F.coalesce(F.try_element_at(F.try_element_at("metas", F.lit(k)), F.lit(1)), F.lit(""))
-    body = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    return pages.withColumns(missing).withColumns({
-        "h1s": F.transform(level(1), lambda h: h["text"]), "description": F.trim(first_meta("description")), "robots": F.lower(first_meta("robots")),
-        "types": schema_types(F.col("jsonld")), "graph": F.filter(F.transform(nodes(F.col("jsonld")), lambda n: F.from_json(n, "map<string, string>")), lambda m: m.isNotNull()), "body": body, "firsthand": firsthand(body, F.col("text")), "page_type": page_type(F.col("url"), F.col("text")), "homepage": is_homepage(F.col("url")),
+    marked = pages.withColumns(missing).withColumns({"body": F.lower(F.coalesce(F.col("text"), F.lit(""))), "h1s": F.transform(level(1), lambda h: h["text"])})
+    # a step of its own, so that the many readers of body don't make it again
+    return marked.withColumns({
+        "description": F.trim(first_meta("description")), "robots": F.lower(first_meta("robots")),
+        "types": schema_types(F.col("jsonld")), "graph": F.filter(F.transform(nodes(F.col("jsonld")), lambda n: F.from_json(n, "map<string, string>")), lambda m: m.isNotNull()), "firsthand": firsthand(F.col("body"), F.col("text")),
+        "eeat_type": eeat_page_type(F.col("url"), F.col("text"), F.coalesce(F.try_element_at("h1s", F.lit(1)), F.lit(""))), "page_type": page_type(F.col("url"), F.col("text")), "homepage": is_homepage(F.col("url")),
         "jump": F.exists(F.arrays_zip(F.slice("headings", 1, F.greatest(F.size("headings") - 1, F.lit(0))).alias("a"), F.slice("headings", 2, F.greatest(F.size("headings") - 1, F.lit(0))).alias("b")),
                          lambda z: z["b"]["level"] - z["a"]["level"] > 1),
     })
@@ -198,8 +200,7 @@ def site_rules() -> list[Rule]:
     count = lambda *checks: sum((F.coalesce(x, F.lit(False)).cast("int") for x in checks), F.lit(0))
     listed = lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>")).when(has(v), F.array(v)).otherwise(F.array().cast(EMPTY_TEXTS))
     org, article, crumbs, product, person = first("Organization", "LocalBusiness"), first("Article", "BlogPosting", "NewsArticle"), first("BreadcrumbList"), first("Product"), first("Person")
-    h1 = F.coalesce(F.try_element_at("h1s", F.lit(1)), F.lit(""))
-    kind = eeat_page_type(url, c("text"), h1)
+    kind = c("eeat_type")
     fits = schema_fits(kind, c("types"))
     # articles: there, of a type that fits the page, with dates and headline, and dated for readers where the page is one to read
     article_fails = ~(article.isNotNull() & fits & (F.size(lacks(article, "datePublished", "dateModified", "headline")) == 0)) | (kind.isin("blog", "general") & ~mentions(body, "published|updated|date:|posted on|last updated"))

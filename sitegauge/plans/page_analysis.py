@@ -16,6 +16,9 @@ from sitegauge.sources.html import page_features
 from sitegauge.sources.scratch import saved
 from sitegauge.sources.signals import page_signals
 
+# Signals that no rule reads; left out, they are not computed.
+UNREAD = ("analytics", "hreflangs", "paragraphs", "n_tables", "n_lists", "n_list_items", "doctype", "viewport", "has_header", "has_footer", "has_main", "html_bytes", "text_bytes", "mixed_count")
+
 
 def page_issues(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Issues that a page shows by itself.  Features are written once, so that no rule computes them again."""
@@ -25,10 +28,12 @@ def page_issues(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 def full_analysis(pages: DataFrame, folder: str, fetches: DataFrame | None = None, robots: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
     """Issues of the whole catalog, with inbound links, click depth and copies joined on, and what was fetched where there are tables of it (see operators.fetched).
 
-    Copies are joined only where there are any, from a written table, so that
+    Only pages that name an itemtype are parsed for items.  Copies are joined only where there are any, from a written table, so that
     pages that all share one content (blank ones) can be split over tasks."""
-    typed = parse_dom(pages).withColumn("microdata_types", microdata_types(F.col("dom"))).drop("dom")
-    features = saved(page_signals(typed).withColumn("_h", content_hash(F.col("title"), F.lit(""), F.col("text"))), folder)
+    typed = parse_dom(pages.withColumn("_typed", F.when(F.contains(F.lower("html"), F.lit("itemtype")), F.col("html"))), html="_typed")
+    typed = typed.withColumn("microdata_types", microdata_types(F.col("dom"))).drop("dom", "_typed")
+    unread = UNREAD if robots is not None else (*UNREAD, "resources")
+    features = saved(page_signals(typed).drop(*unread).withColumn("_h", content_hash(F.col("title"), F.lit(""), F.col("text"))), folder)
     if fetches is not None:
         features = with_answers(features, fetches, folder)
     if robots is not None:

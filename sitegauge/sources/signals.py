@@ -51,7 +51,7 @@ def keyword(text: Column) -> Column:
     """struct<keyword, count, total, density>: the most frequent word of three letters or more that is no stop word; of equals the first in the text.
 
     Texts under 50 characters or ten words have none and density 0."""
-    useful = lambda found: F.array_sort(F.filter(F.transform(found, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (F.length(x["w"]) > 2) & ~x["w"].isin(*STOP_WORDS)))
+    useful = lambda found: F.sort_array(F.filter(F.transform(found, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~x["w"].isin(*STOP_WORDS)))
     run = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("first"), F.lit("").alias("best"), F.lit(0).alias("most"), F.lit(0).alias("at"))
 
     def step(a: Column, x: Column) -> Column:
@@ -65,8 +65,11 @@ def keyword(text: Column) -> Column:
         enough = (F.length(F.trim(F.coalesce(text, F.lit("")))) >= 50) & (c["total"] >= 10) & (c["top"]["most"] > 0)
         return F.struct(F.when(enough, c["top"]["best"]).alias("keyword"), F.when(enough, c["top"]["most"]).otherwise(0).alias("count"), c["total"].alias("total"), F.when(enough, c["top"]["most"] * 100.0 / c["total"]).otherwise(0.0).alias("density"))
 
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b[a-z]+\b"), F.lit(0))
-    return let(let(found, lambda f: F.struct(F.size(f).alias("total"), F.aggregate(useful(f), run, step).alias("top"))), judged)
+    def of(low: Column) -> Column:
+        found = F.regexp_extract_all(low, F.lit(r"\b[a-z]{3,}\b"), F.lit(0))
+        return F.struct(F.regexp_count(low, F.lit(r"\b[a-z]+\b")).alias("total"), F.aggregate(useful(found), run, step).alias("top"))
+
+    return let(let(F.lower(F.coalesce(text, F.lit(""))), of), judged)
 
 
 def hreflangs(html: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions import intents, readability, urls
 from sitegauge.operators import entity_audit, extracts, graph, legacy_rules, links, rules, tables
-from sitegauge.plans.page_analysis import full_analysis
+from sitegauge.plans.page_analysis import UNREAD, full_analysis
 from sitegauge.sources.scratch import shared_folder
 from sitegauge.sources.signals import page_guard, page_signals
 
@@ -140,3 +140,7 @@ def test_organizations_and_authors(spark):
     assert (o["name"], o["phone"], o["street"], o["country"], o["latitude"], o["longitude"], o["n_profiles"]) == ("Acme", "+1 555", "1 Road", "US", 1.5, 2.0, 2)
     assert sorted(r["author"] for r in entity_audit.linked_authors(e).collect()) == ["Al", "Jo Doe"]
     assert [r["property"] for r in entity_audit.deprecated_properties(e, extracts.DEPRECATED).collect()] == ["map"]
+
+
+def test_no_signal_of_the_rules_is_left_out():
+    assert not set(UNREAD) & set(rules.SIGNALS)
