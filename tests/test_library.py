@@ -109,3 +109,10 @@ def test_catalog_rejects_repeats_and_missing_columns(spark):
         rules.check_catalog(rules.content_rules() * 2)
     with pytest.raises(ValueError):
         resolve_columns(spark.range(1), url=CANDIDATES["url"])
+
+
+def test_parser_leaves_references_without_semicolon(spark):
+    html = '<html lang="en"><title>Cut off &amp</title><body><p>A &copy 1 &amp; B&C &#39;d&#39; &#65 &lt</p><script type="application/ld+json">{"a": "x&y &amp z"}</script><a href="/x?a=1&amp=2">t</a></body></html>'
+    page = spark.createDataFrame([(1, "https://a.example/", html)], "page_id long, url string, html string")
+    a, b = (f(page).select("title", "text", "links", "jsonld").first() for f in (page_features, parse_pages))
+    assert a == b and b["title"] == "Cut off &amp" and b["text"].endswith("A &copy 1 & B&C 'd' &#65 &lt t") and b["jsonld"] == ['{"a": "x&y &amp z"}']
