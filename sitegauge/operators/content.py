@@ -116,6 +116,9 @@ def _short_type(kind: Column) -> Column:
     return F.regexp_extract(kind, r"([^/#]*)/?$", 1)
 
 
+OWN = "struct<types: array<string>, id: string, parent: struct<item: int, property: string>>"
+
+
 def structured_items(pages: DataFrame, *keys: str) -> DataFrame:
     """-> keys, format, item, type, id, parent_item, parent_property, properties map<name, array<value>>: one row for each microdata or RDFa item.
 
@@ -130,22 +133,28 @@ def structured_items(pages: DataFrame, *keys: str) -> DataFrame:
         return F.coalesce(linked.when(tag == "object", a(x, "data")).when(tag.isin("data", "meter"), a(x, "value")).when(tag == "time", a(x, "datetime")), a(x, "content"), text_of(d, k, x["last"], " "))
 
     def rows(kind: str, mark: str, prop: str, is_item, typed: str, id: str) -> Column:
-        keep = F.filter(F.transform(d, lambda x, k: F.struct(
+        marked = F.filter(F.transform(d, lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda z: F.map_contains_key(z["x"]["attrs"], prop) | is_item(z["x"]))
+        build = lambda x, k: F.struct(
             F.lit(kind).alias("format"), k.alias("k"), is_item(x).alias("is_item"), outer(x, mark).alias("owner"), a(x, typed).alias("type"), a(x, id).alias("id"),
-            F.filter(F.split(F.coalesce(a(x, prop), F.lit("")), r"\s+"), lambda p: p != "").alias("props"), F.when(a(x, prop).isNotNull(), F.when(is_item(x), k.cast("string")).otherwise(value(x, k))).alias("value"))),
-            lambda r: r["is_item"] | (F.size(r["props"]) > 0) & (r["owner"] >= 0))
+            F.filter(F.split(F.coalesce(a(x, prop), F.lit("")), r"\s+"), lambda p: p != "").alias("props"), F.when(a(x, prop).isNotNull(), F.when(is_item(x), k.cast("string")).otherwise(value(x, k))).alias("value"))
+        keep = F.filter(F.transform(marked, lambda z: build(z["x"], z["k"])), lambda r: r["is_item"] | (F.size(r["props"]) > 0) & (r["owner"] >= 0))
         return keep
 
     micro = rows("microdata", "item", "itemprop", lambda x: a(x, "itemscope").isNotNull(), "itemtype", "itemid")
     rdfa = rows("rdfa", "typed", "property", lambda x: a(x, "typeof").isNotNull() & (x["vocab_at"] >= 0), "typeof", "resource")
     found = pages.select(*keys, F.explode(F.concat(micro, rdfa)).alias("r")).select(*keys, "r.*")
-    items = found.filter("is_item").select(*keys, "format", F.col("k").alias("item"), F.transform(F.filter(F.split(F.coalesce("type", F.lit("")), r"\s+"), lambda t: t != ""), _short_type).alias("types"), "id",
-                                           F.when((F.size("props") > 0) & (F.col("owner") >= 0), F.col("owner")).alias("parent_item"), _first(F.col("props")).alias("parent_property"))
-    items = items.withColumn("parent_property", F.when(F.col("parent_item").isNotNull(), F.col("parent_property")))
-    values = found.filter("owner >= 0").select(*keys, "format", F.col("owner").alias("item"), "k", F.explode("props").alias("name"), "value")
-    named = values.groupBy(*keys, "format", "item", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("v"))
-    maps = named.groupBy(*keys, "format", "item").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "v")))).alias("properties"))
-    return items.join(maps, [*keys, "format", "item"], "left")
+    # an element speaks as an item, and of the item around it: both meet in one grouping, so neither side of a join is ever broadcast
+    own = F.struct(F.transform(F.filter(F.split(F.coalesce("type", F.lit("")), r"\s+"), lambda t: t != ""), _short_type).alias("types"), "id",
+                   F.when((F.size("props") > 0) & (F.col("owner") >= 0), F.struct(F.col("owner").alias("item"), _first(F.col("props")).alias("property"))).alias("parent"))
+    said = F.transform("props", lambda p: F.struct(p.alias("name"), F.col("k").alias("k"), F.col("value").alias("value")))
+    roles = F.array(F.when(F.col("is_item"), F.struct(F.col("k").alias("item"), own.alias("own"), F.lit(None).cast("array<struct<name: string, k: int, value: string>>").alias("said"))),
+                    F.when((F.col("owner") >= 0) & (F.size("props") > 0), F.struct(F.col("owner").alias("item"), F.lit(None).cast(OWN).alias("own"), said.alias("said"))))
+    both = found.select(*keys, "format", F.explode(F.array_compact(roles)).alias("r")).select(*keys, "format", "r.*")
+    both = both.groupBy(*keys, "format", "item").agg(F.collect_list("own").alias("own"), F.array_sort(F.flatten(F.collect_list("said"))).alias("said"))
+    values = lambda n: F.transform(F.filter("said", lambda s: s["name"] == n), lambda s: s["value"])
+    maps = F.map_from_entries(F.transform(F.array_distinct(F.transform("said", lambda s: s["name"])), lambda n: F.struct(n, values(n))))
+    out = both.withColumn("properties", F.when(F.size("said") > 0, maps)).withColumn("o", F.explode("own"))
+    return out.select(*keys, "format", "item", "o.types", "o.id", F.col("o.parent.item").alias("parent_item"), F.col("o.parent.property").alias("parent_property"), "properties")
 
 
 def microdata_types(dom: Column) -> Column:
@@ -188,14 +197,14 @@ def media(pages: DataFrame, *keys: str) -> DataFrame:
 
     kinds = ("img", "video", "audio", "iframe")
     found = F.transform(F.filter(F.transform(d, lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda z: z["x"]["tag"].isin(*kinds)), lambda z: row(z["x"], z["k"]))
-    rows = pages.select(*keys, F.posexplode(found).alias("place", "m")).select(*keys, "place", "m.*")
+    hero = lambda m: (m["kind"] == "img") & ~F.lower(m["src"]).rlike(NOT_HERO) & (m["width"] >= 300) & (m["height"] >= 200) & ~m["in_bar"]
+    area = lambda m: m["width"].cast("long") * m["height"]
+    largest = F.array_min(F.transform(F.filter("_m", hero), lambda m: F.struct((-area(m)).alias("area"), m["k"].alias("k"))))["k"]  # within the page's own array: no row moves
+    rows = pages.select(*keys, found.alias("_m")).select(*keys, largest.alias("hero_k"), "_m").select(*keys, "hero_k", F.posexplode("_m").alias("place", "m")).select(*keys, "hero_k", "place", "m.*")
     named = F.lower(F.concat("src", F.lit(" "), "alt"))
     small = (F.col("alt") == "") & F.col("width").between(1, 49) & F.col("height").between(1, 49)
-    hero = (F.col("kind") == "img") & ~F.lower("src").rlike(NOT_HERO) & (F.col("width") >= 300) & (F.col("height") >= 200) & ~F.col("in_bar")
-    area = F.col("width").cast("long") * F.col("height")
-    largest = rows.filter(hero).groupBy(*keys).agg(F.min_by("k", F.struct(-area, "k")).alias("hero_k"))
     role = F.when(F.col("kind") != "img", F.col("kind")).when(F.col("k") == F.col("hero_k"), "hero").when(named.contains("logo"), "logo").when(F.col("presentation") | small, "decorative").otherwise("content")
-    return rows.join(largest, list(keys), "left").withColumn("role", role).drop("hero_k", "presentation")
+    return rows.withColumn("role", role).drop("hero_k", "presentation")
 
 
 def dom_trail(dom: Column) -> Column:

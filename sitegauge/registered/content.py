@@ -10,7 +10,7 @@ from sitegauge.operators import content, page_types
 from sitegauge.operators.schema_repair import entity_graph
 from sitegauge.registry import query
 from sitegauge.sources.signals import page_signals
-from sitegauge.sources.tables import table
+from sitegauge.sources.tables import spread, table
 
 STRINGS = r"list_filter(list_transform(string_split(regexp_replace({0}, '(?s)<(script|style)\b.*?</(?:script|style)>|<!--.*?-->|<[^>]*>', chr(1), 'g'), chr(1)), lambda x: regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '^\s+|\s+$', '', 'g')), lambda x: x <> '')".format
 
@@ -59,14 +59,14 @@ def product_pages(spark, sf_dir) -> DataFrame:
         F.lit('"><link itemprop="url" href="/buy/'), c("p_partkey"), F.lit('"></div><div vocab="https://schema.org/" typeof="Brand"><b property="name">'), c("p_brand"), F.lit('</b></div><figure><video src="/v/'), c("p_partkey"),
         F.lit('.mp4">'), F.when(c("p_size") > 25, '<track kind="captions">').otherwise(""), F.lit("</video><figcaption>Size <i>"), c("p_size"), F.lit("</i></figcaption>"),
         F.when(c("p_size") % 2 == 0, '<a href="/transcript">read</a>').otherwise(""), F.lit('</figure><img itemprop="image" src="/i/'), c("p_partkey"), F.lit('.jpg" alt="'), c("p_brand"), F.lit('" width="'), c("p_size") * 20, F.lit('" height="300"></main>'))
-    return table(spark, sf_dir, "part").select("p_partkey", html.alias("html"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", html.alias("html"))
 
 
 @query("""WITH i AS (SELECT p_partkey, 'microdata' AS format, 1 AS n, 'Product' AS type, NULL AS parent_property, map_from_entries([('category', [p_type]), ('image', ['/i/' || p_partkey || '.jpg']), ('keywords', [p_type]), ('name', [p_name])]) AS m FROM part
 UNION ALL SELECT p_partkey, 'microdata', 2, 'Offer', 'offers', map_from_entries([('price', [CAST(p_retailprice AS VARCHAR)]), ('url', ['/buy/' || p_partkey])]) FROM part UNION ALL SELECT p_partkey, 'rdfa', 3, 'Brand', NULL, map_from_entries([('name', [p_brand])]) FROM part)
 SELECT p_partkey, format, type, parent_property, array_to_string(list_transform(map_entries(m), lambda e: e.key || '=' || array_to_string(e.value, ';')), '&') AS properties FROM i""")
 def product_items(spark, sf_dir):
-    items = content.structured_items(content.with_dom(product_pages(spark, sf_dir)), "p_partkey")
+    items = content.structured_items(content.with_dom(product_pages(spark, sf_dir), "item", "typed", "vocab"), "p_partkey")
     shown = F.transform(F.filter(F.map_entries("properties"), lambda e: e["key"] != "offers"), lambda e: F.concat_ws("=", e["key"], F.array_join(e["value"], ";")))
     return items.select("p_partkey", "format", F.array_join("types", " ").alias("type"), "parent_property", F.array_join(F.array_sort(shown), "&").alias("properties"))
 
@@ -75,7 +75,7 @@ def product_items(spark, sf_dir):
 {'kind': 'video', 'src': '/v/' || p_partkey || '.mp4', 'caption': 'Size ' || p_size, 'captions': p_size > 25, 'transcript': p_size % 2 = 0, 'role': 'video'},
 {'kind': 'img', 'src': '/i/' || p_partkey || '.jpg', 'caption': '', 'captions': false, 'transcript': false, 'role': CASE WHEN p_size * 20 >= 300 THEN 'hero' ELSE 'content' END}], recursive := true) FROM part)""")
 def product_media(spark, sf_dir):
-    return content.media(content.with_dom(product_pages(spark, sf_dir)), "p_partkey").select("p_partkey", "kind", "src", "caption", "captions", "transcript", "role")
+    return content.media(content.with_dom(product_pages(spark, sf_dir), "figure", "bar"), "p_partkey").select("p_partkey", "kind", "src", "caption", "captions", "transcript", "role")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, list_filter(string_split(lower(text), ' '), lambda x: x <> '')[1:6] AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, a.w AS x, b.w AS y FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
