@@ -91,6 +91,11 @@ def turn_alignment(spark, sf_dir):
 
 
 def typed_pages(spark, sf_dir) -> DataFrame:
+    """typed_sources with the DOM tree."""
+    return content.with_dom(typed_sources(spark, sf_dir), "bar")
+
+
+def typed_sources(spark, sf_dir) -> DataFrame:
     """A page for each part, of a type by its key: service, product, article, questions, data set, plain page, and one without a schema."""
     c, k = F.col, F.col("p_partkey")
     one = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -100,9 +105,8 @@ def typed_pages(spark, sf_dir) -> DataFrame:
              .when(k % 7 == 3, one('{"@type":"FAQPage","mainEntity":[{"@type":"Question","name":"What is ', c("p_name"), '?","acceptedAnswer":{"text":"A ', c("p_type"), '."}},{"@type":"Question","name":"Why?","suggestedAnswer":[{"text":"One"},{"text":"two"}]},{"@type":"Question","name":"No answer"}]}'))
              .when(k % 7 == 4, one('{"@type":"Dataset","license":"', c("p_brand"), '","distribution":[{"size":', c("p_size"), "}]}")).when(k % 7 == 5, one('{"@type":"WebPage","name":"', c("p_name"), '","about":{"k":', c("p_size"), '},"extra":1}')))
     html = one("<html><head><title>T ", k, '</title></head><body><h1>Head <b>', c("p_name"), '</b></h1><p class="post-byline byline">By ', c("p_brand"), "</p><p>What is ", c("p_name"), "? A ", c("p_type"), ".</p><p>Why? One two</p></body></html>")
-    typed = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.array_compact(F.array(block)).alias("jsonld"), html.alias("html"), F.concat(F.lit("T "), k.cast("string")).alias("title"), F.create_map().cast("map<string, array<string>>").alias("metas"),
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", "p_size", F.array_compact(F.array(block)).alias("jsonld"), html.alias("html"), F.concat(F.lit("T "), k.cast("string")).alias("title"), F.create_map().cast("map<string, array<string>>").alias("metas"),
                                                one("Head ", c("p_name"), " By ", c("p_brand"), " What is ", c("p_name"), "? A ", c("p_type"), ". Why? One two").alias("text"))
-    return content.with_dom(typed)
 
 
 @query("""WITH p AS (SELECT *, p_partkey % 7 AS m FROM part)
@@ -126,7 +130,7 @@ SHAPES = {(1, "Product"): "`@type`: ARRAY<STRING>, brand: OBJECT<name: STRING>,
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS type, count(*) AS entities, 'OBJECT<{shape}>' AS shape FROM part WHERE p_partkey % 7 = {m}" for (m, t), shape in SHAPES.items()))
 def entity_shapes(spark, sf_dir):
-    return page_types.schema_shapes(typed_pages(spark, sf_dir))
+    return page_types.schema_shapes(typed_sources(spark, sf_dir))
 
 
 @query(rf"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, regexp_extract(coalesce(html, ''), '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages), c AS (SELECT page_id, len(regexp_extract_all(h, '<(?:p|h1|ul)>')) AS blocks, list_transform(regexp_extract_all(nav, '(?s)<li>(.*?)</li>', 1), lambda x: array_to_string({STRINGS('x')}, '')) AS li,
@@ -150,7 +154,7 @@ def page_language_signals(spark, sf_dir):
 def page_schema_checks(spark, sf_dir):
     checks = page_types.schema_checks(entity_graph(F.col("jsonld")))
     shown = F.transform(checks, lambda c: F.concat_ws(":", c["type"], F.array_join(c["missing"], "+"), c["valid"].cast("string")))
-    return typed_pages(spark, sf_dir).select("p_partkey", F.array_join(shown, ",").alias("checks"))
+    return typed_sources(spark, sf_dir).select("p_partkey", F.array_join(shown, ",").alias("checks"))
 
 
 @query("""WITH p AS (SELECT page_id, 25 AS metadata, coalesce(html, '') AS h FROM pages) SELECT page_id, CAST(CASE WHEN regexp_matches(h, '<title>[^<]*[^<\\s]') THEN 25 ELSE 0 END AS DOUBLE) AS metadata, CAST(0 AS DOUBLE) AS structured_data,

@@ -27,3 +27,10 @@ def test_items_of_pages_with_one_key(spark):
     rows = spark.createDataFrame([(1, html), (None, html)], "page_id long, html string")
     got = content.structured_items(content.with_dom(rows), "page_id").collect()
     assert sorted(str((r["page_id"], r["types"], r["properties"])) for r in got) == ["(1, ['A'], {'n': ['1']})", "(1, ['B'], None)", "(None, ['A'], {'n': ['1']})", "(None, ['B'], None)"]
+
+
+def test_typed_pages_are_dealt_out_and_parsed_only_where_the_tree_is_read(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_OF_TASK", 20)
+    assert queries.typed_pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 10
+    for name in ("page_schema_checks", "entity_shapes"):
+        assert "MapInArrow" not in plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
