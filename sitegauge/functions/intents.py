@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitegauge.functions.scores import let
 from sitegauge.functions.text import words
 
 # Words and phrases with the weight each occurrence has for an intent.
@@ -51,19 +52,21 @@ def intent_shares(text: Column) -> Column:
 
     Percentages are of the total; without any such word they are 40, 30, 15 and 15, and for no text 25 each.
     Confidence: high from a total of 10, medium from 5, low below, very_low without any word."""
-    low = _low(text)
-    sums = {k: sum((occurrences(low, w) * n for w, n in table.items()), F.lit(0.0)) for k, table in INTENT_WEIGHTS.items()}
-    names = list(sums)
+    names = list(INTENT_WEIGHTS)
     flat = lambda *v: F.map_from_arrays(F.lit(names), F.array(*[F.lit(float(x)) for x in v]))
 
-    def judged(s: Column) -> Column:
+    def sums(low: Column, n: Column) -> Column:
+        return F.array(*[sum(((n - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w) * weight for w, weight in table.items()), F.lit(0.0)) for table in INTENT_WEIGHTS.values()])
+
+    def judged(low: Column, s: Column) -> Column:
         total = F.aggregate(s, F.lit(0.0), lambda a, x: a + x)
         share = F.map_from_arrays(F.lit(names), F.transform(s, lambda x: x * 100 / total))
         shares = F.when(low == "", flat(25, 25, 25, 25)).when(total == 0, flat(40, 30, 15, 15)).otherwise(share)
         sure = F.when(low == "", "low").when(total == 0, "very_low").when(total >= 10, "high").when(total >= 5, "medium").otherwise("low")
         return F.struct(shares.alias("shares"), total.alias("total"), sure.alias("confidence"))
 
-    return F.transform(F.array(F.array(*[sums[k] for k in names])), judged)[0]  # the sums are made once
+    # the text is put into small letters and measured once, not for each word; the sums are made once
+    return let(_low(text), lambda low: let(F.length(low), lambda n: let(sums(low, n), lambda s: judged(low, s))))
 
 
 def conversational_count(text: Column) -> Column:
