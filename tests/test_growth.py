@@ -34,3 +34,26 @@ def test_typed_pages_are_dealt_out_and_parsed_only_where_the_tree_is_read(spark,
     assert queries.typed_pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 10
     for name in ("page_schema_checks", "entity_shapes"):
         assert "MapInArrow" not in plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_trees_are_made_of_bounded_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    from sitegauge.sources import dom
+
+    monkeypatch.setattr(dom, "PART", 10)
+    batch = pa.RecordBatch.from_pydict({"k": list(range(6)), "html": ["<p>ab", None, "<p>abc", "<p>" + "x" * 30, "", "<b>"]})
+    parts = list(dom._parse([batch], "html", {}, {}))
+    assert [b.column("k").to_pylist() for b in parts] == [[0, 1], [2], [3], [4, 5]] and [len(x) for b in parts for x in b.column("dom").to_pylist()] == [2, 0, 2, 2, 0, 1]
+    assert [b.num_rows for b in dom._parse([batch.slice(0, 0)], "html", {}, {})] == []
+
+
+def test_intents_put_a_text_into_small_letters_once(spark):
+    from pyspark.sql import functions as F
+
+    from sitegauge.functions.intents import intent_shares
+
+    df = spark.createDataFrame([("How to BUY the best Price",), ("",), (None,)], "t string").select(intent_shares(F.col("t")).alias("i"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    got = [(r["i"]["total"], r["i"]["confidence"], r["i"]["shares"]["commercial"]) for r in df.collect()]
+    assert got == [(16.0, "high", 13 * 100 / 16), (0.0, "low", 25.0), (0.0, "low", 25.0)]
