@@ -9,7 +9,7 @@ from sitegauge.functions.scores import round2
 from sitegauge.operators import extracts
 from sitegauge.registry import query
 from sitegauge.sources.signals import page_signals
-from sitegauge.sources.tables import table
+from sitegauge.sources.tables import spread, table
 
 R2 = "CAST(floor(({0}) * 100 + 0.5) / 100 AS DOUBLE)".format
 
@@ -20,7 +20,7 @@ def lighthouse_metrics(spark, sf_dir):
     audits = F.struct(audit(c("p_retailprice"), F.lit(1)).alias("first-contentful-paint"), audit(c("p_size") * 100, F.lit(1)).alias("largest-contentful-paint"), audit(c("p_size") / 50, F.lit(1)).alias("cumulative-layout-shift"),
                       audit(F.lit(0), c("p_size") % 2).alias("render-blocking-resources"), audit(F.lit(0), c("p_size") / 25).alias("unused-javascript"))
     body = F.to_json(F.struct(F.struct(F.struct(F.struct((c("p_size") / 100).alias("score")).alias("performance")).alias("categories"), audits.alias("audits")).alias("lighthouseResult")))
-    out = table(spark, sf_dir, "part").select("p_partkey", body.alias("body")).select("p_partkey", extracts.performance(F.col("body")).alias("m"))
+    out = spread(table(spark, sf_dir, "part")).select("p_partkey", body.alias("body")).select("p_partkey", extracts.performance(F.col("body")).alias("m"))
     return out.select("p_partkey", *[round2(F.col(f"m.{n}")).alias(n) for n in ("score", "fcp", "lcp", "cls")], F.array_join("m.opportunities", ",").alias("opportunities"))
 
 
