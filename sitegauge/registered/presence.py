@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitegauge.functions.urls import host
 from sitegauge.operators import presence
 from sitegauge.registry import query
-from sitegauge.sources.tables import table
+from sitegauge.sources.tables import spread, table
 
 STREETS = ("North Main Street", "N. Main St.", "N Main St", "N Mian Street", "Harbour Avenue", "north main street", "Nort Main  Street")
 
@@ -24,7 +24,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     site = some(k % 3 == 0, F.to_json(F.struct(F.lit("WebSite").alias("@type"), F.concat(F.lit("Site "), nation).alias("name"))))
     metas = F.map_from_entries(F.array_compact(F.array(some(k % 2 == 0, F.struct(F.lit("og:site_name"), F.array(F.concat(F.lit("Shop "), nation)))))))
     text = some(k % 3 == 0, F.concat(F.lit("Call (555) 123-"), four)).when(k % 3 == 1, "555.000.0000 or 555.000.0001").otherwise("no phone")
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer")).select(
         F.concat(F.lit("https://n"), nation, F.lit(".example/c"), k.cast("string")).alias("url"), F.array_compact(F.array(plain, site)).alias("jsonld"), metas.alias("metas"),
         F.array(F.struct(F.lit(1).alias("level"), F.concat(F.lit("Company "), k.cast("string")).alias("text"))).alias("headings"), some(k % 4 == 0, F.col("c_name")).otherwise(F.concat(F.lit("Welcome "), k.cast("string"))).alias("title"), text.alias("text"))
 

@@ -57,3 +57,11 @@ def test_intents_put_a_text_into_small_letters_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
     got = [(r["i"]["total"], r["i"]["confidence"], r["i"]["shares"]["commercial"]) for r in df.collect()]
     assert got == [(16.0, "high", 13 * 100 / 16), (0.0, "low", 25.0), (0.0, "low", 25.0)]
+
+
+def test_customers_and_audits_are_dealt_out(spark, monkeypatch):
+    from sitegauge.registered import presence
+
+    monkeypatch.setattr(tables, "ROWS_OF_TASK", 20)
+    assert presence.pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+    assert catalog.QUERIES["lighthouse_metrics"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
