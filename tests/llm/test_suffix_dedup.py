@@ -71,3 +71,20 @@ def test_suffix_array_of_lanes():
     for s, n in zip(start, size, strict=True):
         own = text[s : s + n].tolist()
         assert (sa[s : s + n] - s).tolist() == sorted(range(n), key=lambda i: own[i:])
+
+
+def test_regions_without_a_common_half_are_not_sorted(spark, monkeypatch):
+    sizes, save = {}, sd.Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(sd.Scratch, "save", counted)
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n))
+    shared = say(30)[:180]
+    rows = [(i, say(60) + shared + say(60)) for i in range(12)]
+    out = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(not r["spans"] for r in out) and sizes["kinds"] > 1 and sizes["bodies"] == 0
