@@ -1,25 +1,47 @@
-"""Repeated runs of words inside a text, as joins and windows over word rows."""
+"""Repeated runs of words inside a text, each text on its own, in Arrow batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.functions.text import words
+SPLIT = re.compile(r"[ \t\n\r\f\x0b]+")  # white space of functions.text.words
+
+
+def kept_words(text: str | None, size: int) -> list[str]:
+    """The words that no run of size words covers which started earlier too; one step for a word."""
+    words = [w for w in SPLIT.split(text or "") if w]
+    if len(words) < 2 * size:
+        return words
+    seen: set[str] = set()
+    kept, gone_to = [], 0
+    for i, word in enumerate(words):
+        if i + size <= len(words):
+            run = " ".join(words[i : i + size])
+            if run in seen:
+                gone_to = i + size
+            else:
+                seen.add(run)
+        if i >= gone_to:
+            kept.append(word)
+    return kept
+
+
+def _keep(batches, size: int):
+    for batch in batches:
+        kept = pa.array([" ".join(kept_words(t, size)) for t in batch.column(1).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), kept], names=[batch.schema.names[0], "kept"])
 
 
 def without_repeats(df: DataFrame, key: str, text: str, size: int = 20) -> DataFrame:
     """-> key, kept: the text's words less those in a run of size words that started earlier in the same text.
 
-    key names a row.  Texts of fewer than 2 * size words stay whole.  Words become
-    rows, so a long text is no task's burden but that of its own window."""
-    rows = df.select(F.col(key), words(F.col(text)).alias("w"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, size), " ")))
-    long = rows.filter(F.size("w") >= 2 * size).withColumn("r", runs)
-    word = long.select(key, F.posexplode("w").alias("pos", "word"), "r").select(key, "pos", "word", F.get("r", F.col("pos")).alias("run"))
-    first = F.row_number().over(Window.partitionBy(key, "run").orderBy("pos"))
-    word = word.withColumn("again", (F.col("run").isNotNull() & (first > 1)).cast("int"))
-    gone = F.max("again").over(Window.partitionBy(key).orderBy("pos").rowsBetween(1 - size, 0))
-    kept = word.withColumn("gone", gone).filter("gone = 0").groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "word")))["word"], " ").alias("kept"))
-    short = rows.filter(F.size("w") < 2 * size).select(key, F.array_join("w", " ").alias("kept"))
-    return long.select(key).join(kept, key, "left").select(key, F.coalesce("kept", F.lit("")).alias("kept")).unionByName(short)
+    key names a row.  Texts of fewer than 2 * size words stay whole.  No row moves:
+    a text's runs are compared where it is read."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")  # results are lazy, so the session keeps it
+    rows = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
+    return rows.mapInArrow(partial(_keep, size=size), f"`{key}` {rows.schema[0].dataType.simpleString()}, kept string")

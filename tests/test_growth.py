@@ -65,3 +65,13 @@ def test_customers_and_audits_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(tables, "ROWS_OF_TASK", 20)
     assert presence.pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
     assert catalog.QUERIES["lighthouse_metrics"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_repeated_runs_are_found_without_a_shuffle(spark):
+    from sitegauge.operators.blocks import without_repeats
+
+    run = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, f"{run} x\n{run}\ty"), (2, run), (3, None), (None, "a " * 60), (4, f"{run} {run}"[:-1] + "z")]
+    out = without_repeats(spark.createDataFrame(rows, "k int, t string"), "k", "t")
+    assert "Exchange" not in plan(out)
+    assert {r["k"]: r["kept"] for r in out.collect()} == {1: f"{run} x y", 2: run, 3: "", None: "a", 4: f"{run} {run}"[:-1] + "z"}
