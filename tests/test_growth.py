@@ -75,3 +75,11 @@ def test_repeated_runs_are_found_without_a_shuffle(spark):
     out = without_repeats(spark.createDataFrame(rows, "k int, t string"), "k", "t")
     assert "Exchange" not in plan(out)
     assert {r["k"]: r["kept"] for r in out.collect()} == {1: f"{run} x y", 2: run, 3: "", None: "a", 4: f"{run} {run}"[:-1] + "z"}
+
+
+def test_documents_are_counted_for_the_top_words_alone(spark, tmp_path):
+    rows = [(1, "Word word abc"), (1, "WORD other"), (None, "other2"), (2, "x" * 5 + " other-word")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.QUERIES["top_words"](spark, str(tmp_path))
+    assert "array_intersect" in plan(out)
+    assert [tuple(r) for r in out.collect()] == [("word", 4, 2), ("other", 3, 2), ("xxxxx", 1, 1)]
