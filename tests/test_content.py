@@ -201,3 +201,13 @@ def test_repair_of_pages(spark):
     got = {r["url"]: r["jsonld_mended"] for r in schema_repair.repaired(spark.createDataFrame(rows, "url string, jsonld array<string>"), F.lit(ROOT)).collect()}
     assert json.loads(got[ROOT + "/p"])["@graph"] == [{"@type": "WebPage", "name": "W", "provider": {"@id": ROOT + "#organization"}}]
     assert json.loads(got[ROOT + "/e"]) == json.loads(got[ROOT + "/n"]) == {"@context": "https://schema.org", "@graph": []}
+
+
+def test_references_without_a_semicolon_stay_as_the_sql_leaves_them(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    html = f'<html lang="a&ltb"><title>cut token = &quot</title><body><article><p>{words} &quot x &lt y &amp z &#60 &quot;q&quot; &amp;</p><p>R&D &co</article></body></html>'
+    text = f'{words} &quot x &lt y & z &#60 "q" & R&D &co'
+    p = content.with_dom(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    r = p.select(content.clean_content(F.col("dom")).alias("c"), content.main_content(F.col("dom")).alias("m"), content.language_signals(F.col("dom")).alias("s")).first()
+    assert r["c"]["text"] == r["m"]["text"] == text
+    assert (r["s"]["html_lang"], r["s"]["chars"]) == ("a&ltb", len("cut token = &quot " + text))
